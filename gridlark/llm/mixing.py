@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.runtime import materialize
+from gridlark.runtime import materialize, parallelism
 
 from .common import WORD
 
@@ -91,7 +91,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     bucket, then id and text hash; three levels of prefix sums find the places.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__hash"), *[F.col(c) for c in keep])
-    n = docs.select(F.lit(1)).count()
+    rows = materialize(rows)  # texts are read once; what follows works on sizes
+    n = rows.count()
     fan = max(1, n // PER_BUCKET)
     wide = max(1, fan // PER_BUCKET)
     rows = rows.withColumn("__b", F.pmod("__hash", F.lit(fan))).withColumn("__w", F.floor(F.col("__b") * wide / fan).cast("long"))
@@ -129,7 +130,7 @@ def slots(planned: DataFrame, shard_blocks: int = 16_384, seed: int = SEED) -> D
     total = F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / F.lit(shard_blocks))).cast("long")
     runs = planned.withColumn("__shards", total).where(F.col("n_slots") > 0)
     runs = runs.select("source", "n_blocks", "n_slots", "__shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / 4096))).alias("__run"))
-    runs = runs.repartition(F.col("source"), F.col("__run"))
+    runs = runs.repartition(parallelism(planned.sparkSession), F.col("source"), F.col("__run"))
     s = runs.select(F.xxhash64("source").alias("__s"), "source", "n_blocks", "__shards", F.explode(F.sequence(F.col("__run") * 4096, F.least(F.col("__run") * 4096 + 4095, F.col("n_slots") - 1))).alias("slot"))
     s = s.withColumn("turn", F.floor(F.col("slot") / F.col("n_blocks")).cast("int"))
     s = s.withColumn("shard", F.pmod(prf(F.lit(seed), F.lit(7), F.col("__s"), F.col("slot")), F.col("__shards")))
@@ -149,6 +150,11 @@ def _sources(placed: DataFrame) -> DataFrame:
     return placed.groupBy("source").agg(F.sum("size").alias("source_size"))
 
 
+def _few(by_source: DataFrame, most: int = 10_000) -> DataFrame:
+    """Marked for broadcast where it has at most `most` rows, counted; else left to a shuffled join."""
+    return F.broadcast(by_source) if by_source.count() <= most else by_source
+
+
 def takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED, **rules) -> DataFrame:
     """One row per row of docs: id, size, source_size, target (its source's) and taken, the words that the mix holds of it."""
     placed = materialize(packed(docs, id_col, text_col, source_col, seed=seed))
@@ -159,7 +165,7 @@ def takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     key = ["__id", "source", "start", "size"]
     took = met.groupBy(*key).agg(F.sum(F.coalesce(F.col("__times"), F.lit(0)) * F.col("words")).alias("taken"))
     none = placed.where(F.col("size") == 0).select(*key, F.lit(0).cast("long").alias("taken"))
-    by = planned.select(F.col("source").alias("__source"), "source_size", "target")
+    by = _few(planned.select(F.col("source").alias("__source"), "source_size", "target"))
     out = took.unionByName(none)
     return out.join(by, out["source"].eqNullSafe(by["__source"])).select(F.col("__id").alias(id_col), "size", "source_size", "target", "taken")
 

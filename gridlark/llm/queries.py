@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.runtime import table
 
-from . import exact, licenses, mixing, piece, pii, quality, simhash, tokencount, toxicity
+from . import exact, licenses, mixing, piece, pii, quality, simhash, substrings, tokencount, toxicity
 
 MODEL = "piece_bpe_32k.model"
 
@@ -32,6 +32,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_quality_rules, op5_exact_dedup, op6_mixing, op7_sentencepiece, op8_simhash, op9_pii, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_quality_rules, op4_suffix_dedup, op5_exact_dedup, op6_mixing, op7_sentencepiece, op8_simhash, op9_pii, op10_licenses)}
 ORACLES = {"op5_exact_dedup": exact.ORACLE}
