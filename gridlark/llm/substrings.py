@@ -341,8 +341,10 @@ def segments(batches: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
 
 
 def suffix_array(raw: bytes, depth: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first `depth` bytes or more, by Larsson-Sadakane refinement,
-    and the first suffix of each group that agrees further than that and so is not ordered inside.
+    """Suffixes in order of their first `depth` bytes or more, by Larsson-Sadakane refinement.
+
+    Also each suffix's mark: 0 in its place, 1 first and 2 later in a group that agrees
+    on more than `depth` bytes and so is not ordered inside.
 
     Starts from groups of equal eight bytes. A round orders each group by the rank of
     the suffix one prefix length on and doubles the prefix; groups of one rest.
@@ -377,23 +379,26 @@ def suffix_array(raw: bytes, depth: int = WIDTH) -> tuple[np.ndarray, np.ndarray
         rank[s] = np.repeat(open_[first], count)
         open_ = open_[np.repeat(count > 1, count)]
         length *= 2
-    return sa, sa[open_[rank[sa[open_]] == open_]]
+    mark = np.zeros(n, dtype=np.int8)
+    mark[sa[open_]] = np.where(rank[sa[open_]] == open_, 1, 2)
+    return sa, mark
 
 
-def common_prefixes(raw: bytes, sa: np.ndarray, loose: np.ndarray, most: int = WIDTH, lane: int = 64) -> np.ndarray:
+def common_prefixes(raw: bytes, sa: np.ndarray, mark: np.ndarray, most: int = WIDTH, lane: int = 64) -> np.ndarray:
     """Common prefix (up to `most`) of each suffix of the array with the one before it, by Kasai's recurrence.
 
     In text order a common prefix shrinks by one at most from one suffix to the next.
-    That needs the array's order, so it starts anew at the first of a group not ordered
-    inside. The text is cut into lanes that run through the recurrence side by side.
+    That needs the array's order: later suffixes of a group not ordered inside share `most`
+    at least with the one before, and the recurrence starts anew behind them and at a
+    group's first. The text is cut into lanes that run through it side by side.
     """
     n = len(raw)
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     word = np.ndarray((n + most + 8,), dtype="<u8", buffer=raw + b"\0" * (most + 16), strides=(1,))
     out = np.zeros(n, dtype=np.int64)
-    anew = np.zeros(n, bool)
-    anew[loose] = True
+    anew = mark == 1
+    anew[1:] |= mark[:-1] == 2
     lanes = np.arange(0, n, lane)
     held = np.zeros(len(lanes), dtype=np.int64)
     for t in range(lane):
@@ -403,6 +408,7 @@ def common_prefixes(raw: bytes, sa: np.ndarray, loose: np.ndarray, most: int = W
         j = before[i]
         room = np.minimum(most, n - np.maximum(i, j))
         l = np.where((j >= 0) & ~anew[i], np.minimum(l, room), 0)
+        l = np.where(mark[i] == 2, most, l)
         todo = np.nonzero((j >= 0) & (l < room))[0]
         while len(todo):
             x = word[i[todo] + l[todo]] ^ word[j[todo] + l[todo]]
@@ -444,8 +450,8 @@ def repeated(raw: bytes, seg: np.ndarray, shard: int = SHARD) -> np.ndarray:
         order = np.repeat(seg["order"][s:e], size)
         room = np.repeat(starts[s:e] - a + size, size) - np.arange(b - a)
         order = np.where(room >= WIDTH, order, LAST)  # windows that leave their segment count for nothing
-        sa, loose = suffix_array(text)
-        lcp = common_prefixes(text, sa, loose)
+        sa, mark = suffix_array(text)
+        lcp = common_prefixes(text, sa, mark)
         at = np.nonzero(np.append(True, lcp[1:] < WIDTH))[0]
         least = np.minimum.reduceat(order[sa], at)
         count = np.diff(np.append(at, len(sa)))
