@@ -161,7 +161,8 @@ def takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     planned = materialize(plan(_sources(placed), block, **rules))
     times = slots(planned, seed=seed).groupBy("source", "block").agg(F.count(F.lit(1)).alias("__times")).withColumnRenamed("source", "__source").withColumnRenamed("block", "__block")
     parts = spread(placed, block)
-    met = parts.join(times, parts["source"].eqNullSafe(times["__source"]) & (parts["block"] == times["__block"]), "left")
+    # Sizes estimated before sequences are unfolded are far too low: without the hint the slots' side would be broadcast.
+    met = parts.join(times.hint("merge"), parts["source"].eqNullSafe(times["__source"]) & (parts["block"] == times["__block"]), "left")
     key = ["__id", "source", "start", "size"]
     took = met.groupBy(*key).agg(F.sum(F.coalesce(F.col("__times"), F.lit(0)) * F.col("words")).alias("taken"))
     none = placed.where(F.col("size") == 0).select(*key, F.lit(0).cast("long").alias("taken"))
@@ -179,7 +180,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     held = parts.select("source", "block", "start", words.alias("w")).groupBy("source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "w"))), lambda x: x["w"])).alias("words"))
     held = held.withColumnRenamed("source", "__source").withColumnRenamed("block", "__block")
     s = slots(planned, seed=seed)
-    return s.join(held, s["source"].eqNullSafe(held["__source"]) & (s["block"] == held["__block"])).select("shard", "slot", "source", "words")
+    return s.join(held.hint("merge"), s["source"].eqNullSafe(held["__source"]) & (s["block"] == held["__block"])).select("shard", "slot", "source", "words")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED, **rules) -> DataFrame:
@@ -192,12 +193,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     planned = materialize(plan(_sources(placed), block, **rules))
     s = slots(planned, seed=seed).select(F.col("source").alias("__source"), F.col("block").alias("__block"), "turn")
     parts = spread(placed, block)
-    met = parts.join(s, parts["source"].eqNullSafe(s["__source"]) & (parts["block"] == s["__block"]))
+    met = parts.join(s.hint("merge"), parts["source"].eqNullSafe(s["__source"]) & (parts["block"] == s["__block"]))
     ranges = met.groupBy("__id", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__ranges")).select(F.col("__id").alias("__mixed"), "turn", "__ranges")
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))
-    got = docs.join(ranges, docs[id_col].eqNullSafe(ranges["__mixed"]))
-    got = got.withColumn("__words", words)
-    text = F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice(F.col("__words"), (r["first"] + 1).cast("int"), r["words"].cast("int")))), " ")
+    got = docs.join(ranges.hint("merge"), docs[id_col].eqNullSafe(ranges["__mixed"]))
+    # A lambda's argument is computed once; a column used inside would be split into words anew for each range.
+    cut = lambda w: F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice(w, (r["first"] + 1).cast("int"), r["words"].cast("int")))), " ")
+    text = F.element_at(F.transform(F.array(words), cut), 1)
     got = got.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length(text_col).cast("long"))
