@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -31,11 +32,21 @@ def per_text(fn_maker: Callable[[], Callable[[list[str]], dict]], schema: str):
         for s in batches:
             parts = [pd.DataFrame(fn(texts), columns=names) for texts in slices(s)]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(fn([]), columns=names)
+        del fn
+        give_back()
 
     return run
 
 
-def slices(texts: Iterable, most: int = 4_000_000) -> Iterator[list[str]]:
+def give_back() -> None:
+    """Return freed memory to the system, since Python workers live on between tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def slices(texts: Iterable, most: int = 1_000_000) -> Iterator[list[str]]:
     """Lists of whole texts of about `most` characters each (one text at least)."""
     part: list[str] = []
     size = 0

@@ -7,9 +7,11 @@ everything after that works on batches, and results come back to them by number.
    windows pick equal grams. Runs of windows with one gram are grouped into blocks, cut
    where the gram's hash says so. A block that a smaller document also holds (equal
    128-bit digest of all its bytes) is settled as a whole: copies and near copies go here.
-2. Candidates. Only grams that occur in more than one document can lead to a match, and a
-   window's first occurrence never lies in a settled block; so only runs outside settled
-   blocks whose gram occurs elsewhere are left, a small part of the text.
+   Runs are then split by the side on which their windows reach SIDE bytes beyond the gram,
+   and known by the hash of the gram with those bytes.
+2. Candidates. A window's first occurrence never lies in a settled block, so settled blocks
+   are left aside on both sides. Of the other runs, only those whose gram occurs there in
+   more than one document can lead to a match: a small part of the text.
 3. Suffix arrays. These runs' bytes are dealt by gram to shards. Each shard sorts its
    suffixes by Larsson-Sadakane refinement (groups of equal prefixes, ranked by the rank
    of what follows, prefix length doubling), takes common prefixes by Kasai's recurrence
@@ -40,11 +42,14 @@ from pyspark.sql import functions as F
 
 from gridlark.runtime import materialize, parallelism, ship
 
+from .common import give_back
+
 WIDTH = 50  # bytes of a window
 GRAM = 24  # bytes of a gram; a window holds WIDTH - GRAM + 1 of them
+SIDE = (WIDTH - GRAM) // 2  # bytes that every window has on one side of its gram at least
 CUT = 16  # one gram in CUT starts a block
-BATCH = 2_000_000  # bytes of a batch, but for longer documents
-SHARD = 4_000_000  # bytes of one suffix array
+BATCH = 1_000_000  # bytes of a batch, but for longer documents
+SHARD = 2_000_000  # bytes of one suffix array
 LAST = np.int64(2**63 - 1)
 _HI, _LO = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
@@ -147,12 +152,26 @@ class Batch:
         self.p1 = np.nonzero(last & valid)[0]
         if not len(self.p0):
             return
-        # A run may go on over a document's end only where windows there are valid: docs cut runs too.
+        at = anchor[self.p0]
+        cut = h[at]
+        cut = ((cut ^ (cut >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(33)
+        # A window reaches at least SIDE bytes beyond its gram on one side: runs are split by that side.
+        left, right = self.p0 <= at - SIDE, self.p1 > at - SIDE
+        n_of = left.astype(np.int64) + right
+        run = np.repeat(np.arange(len(at)), n_of)
+        second = np.append(False, run[1:] == run[:-1])
+        is_left = left[run] & ~second
+        p0, p1, at = self.p0[run], self.p1[run], at[run]
+        self.p0 = np.where(is_left, p0, np.maximum(p0, at - SIDE + 1))
+        self.p1 = np.where(is_left, np.minimum(p1, at - SIDE), p1)
         self.doc = np.searchsorted(self.starts, self.p0, "right") - 1
-        g = h[anchor[self.p0]]
-        g = (g ^ (g >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        self.gram = g ^ (g >> np.uint64(33))
-        first = (self.gram % np.uint64(CUT)) == 0
+        s = np.where(is_left, at - SIDE, at)
+        g = np.where(is_left, np.uint64(1), np.uint64(2))
+        for k in (0, 8, 16, 24, GRAM + SIDE - 8):
+            g = (g ^ word[s + k]) * np.uint64(0xFF51AFD7ED558CCD)
+            g ^= g >> np.uint64(32)
+        self.gram = g
+        first = ((cut[run] % np.uint64(CUT)) == 0) & ~second
         first[0] = True
         first[1:] |= self.doc[1:] != self.doc[:-1]
         self.block = np.cumsum(first) - 1
@@ -175,40 +194,52 @@ def _rows(frame: pd.DataFrame) -> Iterator[tuple]:
 _BLOCK = np.dtype([("a", "<u8"), ("b", "<u8"), ("order", "<i8"), ("i", "<u4")])
 
 
-def keys(batches: DataFrame, shards: int) -> DataFrame:
-    """What each batch has to ask each shard: kind 1 block digests, kind 2 grams."""
+def block_keys(batches: DataFrame, shards: int) -> DataFrame:
+    """Kind 1: what each batch asks each shard, its blocks' digests."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for bid, *cols in _rows(pdf):
                 b = Batch(*cols)
                 b.analyse()
-                out = []
                 d = b.digests()
                 rec = np.zeros(len(d), dtype=_BLOCK)
                 rec["a"], rec["b"], rec["order"], rec["i"] = d[:, 0], d[:, 1], b.order[b.block_doc], np.arange(len(d))
                 to = (rec["a"] >> np.uint64(20)) % np.uint64(shards)
-                for r, rows in _split(to, shards):
-                    out.append((1, r, bid, _squeeze(rec[rows])))
-                # grams once each, with a flag where two documents of the batch hold it
-                order = np.argsort(b.gram, kind="stable")
-                g, own = b.gram[order], b.order[b.doc][order]
-                at = np.nonzero(np.append(True, g[1:] != g[:-1]))[0] if len(g) else np.zeros(0, dtype=np.int64)
-                many = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at) if len(g) else np.zeros(0, bool)
-                g = g[at]
-                to = (g >> np.uint64(32)) % np.uint64(shards)
-                for r, rows in _split(to, shards):
-                    low = (g[rows] & _LO).astype(np.uint32)
-                    by = np.argsort(low, kind="stable")
-                    low, flag = low[by], many[rows][by]
-                    step = np.diff(low, prepend=np.uint32(0)).astype("<u4")
-                    out.append((2, r, bid, _squeeze(step.view(np.uint8).reshape(-1, 4).T.copy()) + np.packbits(flag).tobytes() + len(low).to_bytes(8, "little")))
+                out = [(1, r, bid, _squeeze(rec[rows])) for r, rows in _split(to, shards)]
                 if out:
                     yield pd.DataFrame(out, columns=["kind", "r", "bid", "load"])
 
     return batches.mapInPandas(run, "kind int, r int, bid long, load binary")
 
 
+def gram_keys(batches: DataFrame, settled: DataFrame, shards: int) -> DataFrame:
+    """Kind 2: what each batch asks each shard, the grams of runs outside settled blocks, with a flag where two of its documents hold one."""
+
+    def run(bid: int, own: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame | None:
+        b = _opened(own)
+        b.analyse()
+        left = ~_settled(b, rest)[b.block]
+        g, order_of = b.gram[left], b.order[b.doc[left]]
+        if not len(g):
+            return None
+        order = np.argsort(g, kind="stable")
+        g, order_of = g[order], order_of[order]
+        at = np.nonzero(np.append(True, g[1:] != g[:-1]))[0]
+        many = np.minimum.reduceat(order_of, at) != np.maximum.reduceat(order_of, at)
+        g = g[at]
+        out = []
+        for r, rows in _split((g >> np.uint64(32)) % np.uint64(shards), shards):
+            low = (g[rows] & _LO).astype(np.uint32)
+            by = np.argsort(low, kind="stable")
+            low, flag = low[by], many[rows][by]
+            step = np.diff(low, prepend=np.uint32(0)).astype("<u4")
+            out.append((2, r, bid, _squeeze(step.view(np.uint8).reshape(-1, 4).T.copy()) + np.packbits(flag).tobytes() + len(low).to_bytes(8, "little")))
+        return pd.DataFrame(out, columns=["kind", "r", "bid", "load"])
+
+    return _with_batches(batches, settled, run, "kind int, r int, bid long, load binary")
+
+
 def _grams(load: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(load[-8:], "little")
     flags = load[len(load) - 8 - -(-n // 8) : -8]
@@ -274,8 +305,8 @@ def answers(asked: DataFrame, shards: int) -> DataFrame:
                 many = np.maximum.reduceat(np.concatenate(flags)[order].astype(np.int8), at) > 0
                 hit = np.zeros(len(v), bool)
                 hit[order] = np.repeat((size > 1) | many, size)
-            for k in np.unique(source[hit]).tolist():
-                out.append((bids[k], kind, r, _squeeze(value[hit & (source == k)] if len(bids) < 3 else value[source == k][hit[source == k]])))
+            value, cuts = value[hit], np.searchsorted(source[hit], np.arange(len(bids) + 1))  # source ascends
+            out = [(bid, kind, r, _squeeze(value[a:e])) for bid, a, e in zip(bids, cuts, cuts[1:], strict=False) if e > a]
             if out:
                 yield pd.DataFrame(out, columns=["bid", "kind", "r", "load"])
 
@@ -288,18 +319,19 @@ def answers(asked: DataFrame, shards: int) -> DataFrame:
 _SEGMENT = np.dtype([("gram", "<u8"), ("order", "<i8"), ("p", "<i8"), ("size", "<i4")])
 
 
-def _with_batches(batches: DataFrame, *loads: DataFrame) -> DataFrame:
-    """Batches and what belongs to them, sorted together; a batch's own row comes first."""
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("ids", "nulls", "sizes", "bytes")]
-    out = batches.select("bid", F.lit(0).alias("kind"), F.lit(0).alias("r"), F.lit(None).cast("binary").alias("load"), "ids", "nulls", "sizes", "bytes")
-    for x in loads:
-        out = out.unionByName(x.select("bid", "kind", "r", "load", *empty))
-    return out.repartition(parallelism(batches.sparkSession), "bid").sortWithinPartitions("bid", "kind", "r")
+def _with_batches(batches: DataFrame, load: DataFrame, fn, schema: str) -> DataFrame:
+    """fn on each batch with what belongs to it. batches lie by bid already, and are not moved again."""
+
+    def run(own: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+        out = fn(int(own["bid"].iloc[0]), own, rest) if len(own) else None
+        return pd.DataFrame({c.strip().split(" ")[0]: [] for c in schema.split(",")}) if out is None else out
 
+    return batches.groupBy("bid").cogroup(load.select("bid", "kind", "r", "load").groupBy("bid")).applyInPandas(run, schema)
 
-def _opened(group: pd.DataFrame) -> tuple[Batch, pd.DataFrame]:
-    own = group.iloc[0]
-    return Batch(own["ids"], own["nulls"], own["sizes"], own["bytes"]), group.iloc[1:]
+
+def _opened(own: pd.DataFrame) -> Batch:
+    one = own.iloc[0]
+    return Batch(one["ids"], one["nulls"], one["sizes"], one["bytes"])
 
 
 def _settled(b: Batch, rest: pd.DataFrame) -> np.ndarray:
@@ -313,31 +345,26 @@ def _settled(b: Batch, rest: pd.DataFrame) -> np.ndarray:
 def segments(batches: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
     """Bytes of the candidate runs, by shard of their gram."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(frames, ["bid"]):
-            b, rest = _opened(group)
-            grams = rest[rest["kind"] == 2]
-            if not len(grams):
-                continue
-            b.analyse()
-            shared = np.sort(np.concatenate([_expand(x, np.uint32).astype(np.uint64) | (np.uint64(r) << np.uint64(32)) for r, x in zip(grams["r"], grams["load"], strict=True)]))
-            to = (b.gram >> np.uint64(32)) % np.uint64(shards)
-            mine = (to << np.uint64(32)) | (b.gram & _LO)
-            at = np.minimum(np.searchsorted(shared, mine), len(shared) - 1)
-            keep = (shared[at] == mine) & ~_settled(b, rest)[b.block]
-            k = np.nonzero(keep)[0]
-            if not len(k):
-                continue
-            rec = np.zeros(len(k), dtype=_SEGMENT)
-            rec["gram"], rec["order"], rec["p"], rec["size"] = b.gram[k], b.order[b.doc[k]], b.p0[k], b.p1[k] - b.p0[k] + WIDTH
-            bid, out = int(group["bid"].iloc[0]), []
-            for r, rows in _split(to[k], shards):
-                data = b"".join(b.raw[p : p + n] for p, n in zip(rec["p"][rows].tolist(), rec["size"][rows].tolist(), strict=True))
-                head = rec[rows].tobytes()
-                out.append((r, bid, zstandard.ZstdCompressor(level=3).compress(len(rows).to_bytes(8, "little") + head + data)))
-            yield pd.DataFrame(out, columns=["r", "bid", "load"])
-
-    return _with_batches(batches, answered).mapInPandas(run, "r int, bid long, load binary")
+    def run(bid: int, own: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame | None:
+        grams = rest[rest["kind"] == 2]
+        if not len(grams):
+            return None
+        b = _opened(own)
+        b.analyse()
+        shared = np.sort(np.concatenate([_expand(x, np.uint32).astype(np.uint64) | (np.uint64(r) << np.uint64(32)) for r, x in zip(grams["r"], grams["load"], strict=True)]))
+        to = (b.gram >> np.uint64(32)) % np.uint64(shards)
+        mine = (to << np.uint64(32)) | (b.gram & _LO)
+        at = np.minimum(np.searchsorted(shared, mine), len(shared) - 1)
+        k = np.nonzero((shared[at] == mine) & ~_settled(b, rest)[b.block])[0]
+        rec = np.zeros(len(k), dtype=_SEGMENT)
+        rec["gram"], rec["order"], rec["p"], rec["size"] = b.gram[k], b.order[b.doc[k]], b.p0[k], b.p1[k] - b.p0[k] + WIDTH
+        out = []
+        for r, rows in _split(to[k], shards):
+            data = b"".join(b.raw[p : p + n] for p, n in zip(rec["p"][rows].tolist(), rec["size"][rows].tolist(), strict=True))
+            out.append((r, bid, zstandard.ZstdCompressor(level=3).compress(len(rows).to_bytes(8, "little") + rec[rows].tobytes() + data)))
+        return pd.DataFrame(out, columns=["r", "bid", "load"])
+
+    return _with_batches(batches, answered, run, "r int, bid long, load binary")
 
 
 def suffix_array(raw: bytes, depth: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -494,14 +521,28 @@ def matches(cut: DataFrame, shards: int, shard: int = SHARD) -> DataFrame:
             seg, source = np.concatenate(segs), np.array(source)
             order = np.lexsort((seg["order"], seg["gram"]))
             seg, source = seg[order], source[order]
-            raw = b"".join(texts[k] for k in order.tolist())
-            hit = np.nonzero(repeated(raw, seg, shard))[0]
-            ends = np.cumsum(seg["size"].astype(np.int64))
-            s = np.searchsorted(ends, hit, "right")
-            p = seg["p"][s] + hit - (ends - seg["size"])[s]
-            out = [(bid, 3, int(group["r"].iloc[0]), _squeeze(p[source[s] == k])) for k, bid in enumerate(group["bid"].tolist()) if (source[s] == k).any()]
+            # Equal segments go into the arrays once, as the smallest document's; the others follow from it.
+            kept: dict[tuple[int, bytes], int] = {}
+            grams = seg["gram"].tolist()
+            rep = np.array([kept.setdefault((grams[n], texts[k]), n) for n, k in enumerate(order.tolist())], dtype=np.int64)
+            one = np.nonzero(rep == np.arange(len(rep)))[0]
+            raw = b"".join(texts[k] for k in order[one].tolist())
+            del kept, texts
+            flags = repeated(raw, seg[one], shard)
+            begin = np.zeros(len(seg), dtype=np.int64)
+            begin[one] = np.cumsum(seg["size"][one].astype(np.int64)) - seg["size"][one]
+            n_windows = seg["size"].astype(np.int64) - WIDTH + 1
+            s = np.repeat(np.arange(len(seg)), n_windows)
+            offset = np.arange(len(s)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+            hit = flags[begin[rep[s]] + offset] | (seg["order"][rep] < seg["order"])[s]
+            s, p = s[hit], (seg["p"][s] + offset)[hit]
+            by = np.argsort(source[s], kind="stable")
+            p, cuts = p[by], np.searchsorted(source[s][by], np.arange(len(group) + 1))
+            r = int(group["r"].iloc[0])
+            out = [(bid, 3, r, _squeeze(p[a:e])) for bid, a, e in zip(group["bid"].tolist(), cuts, cuts[1:], strict=False) if e > a]
             if out:
                 yield pd.DataFrame(out, columns=["bid", "kind", "r", "load"])
+        give_back()
 
     return cut.repartition(shards, "r").sortWithinPartitions("r").mapInPandas(run, "bid long, kind int, r int, load binary")
 
@@ -532,38 +573,36 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship(spark)
     shards = parallelism(spark)
-    batches = materialize(pack(docs, id_col, text_col, batch))
-    answered = materialize(answers(keys(batches, shards), shards))
-    found = matches(segments(batches, answered, shards), shards, shard)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(frames, ["bid"]):
-            b, rest = _opened(group)
-            if len(rest):
-                b.analyse()
-                gone = _covered(b, rest)
-            else:
-                gone = np.zeros(len(b.buf), bool)
-            start = gone.copy()
-            start[1:] &= ~gone[:-1]
-            inner = b.starts[(b.sizes > 0)]
-            start[inner] = gone[inner]  # runs never cross documents
-            total, spans = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(start))
-            ends = b.starts + b.sizes
-            kept = []
-            for s, e, n in zip(b.starts.tolist(), ends.tolist(), (total[ends] - total[b.starts]).tolist(), strict=True):
-                kept.append(b.raw[s:e] if n == 0 else b.buf[s:e][~gone[s:e]].tobytes())
-            out = {
-                "i": [None if x else str(i) for i, x in zip(b.ids.tolist(), b.null.tolist(), strict=True)],
-                "n_bytes": b.sizes,
-                "n_removed": total[ends] - total[b.starts],
-                "n_spans": spans[ends] - spans[b.starts],
-                "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
-            }
-            if texts:
-                out["kept_text"] = [k.decode("utf-8", "ignore") for k in kept]
-            yield pd.DataFrame(out)
-
-    result = _with_batches(batches, answered.where("kind = 1"), found).mapInPandas(run, SCHEMA + ", kept_text string" * texts)
+    batches = materialize(pack(docs, id_col, text_col, batch).repartition(shards, "bid"))
+    settled = materialize(answers(block_keys(batches, shards), shards))
+    shared = answers(gram_keys(batches, settled, shards), shards)
+    found = matches(segments(batches, settled.unionByName(shared), shards), shards, shard)
+
+    def run(bid: int, own: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+        b = _opened(own)
+        gone = np.zeros(len(b.buf), bool)
+        if len(rest):
+            b.analyse()
+            gone = _covered(b, rest)
+        start = gone.copy()
+        start[1:] &= ~gone[:-1]
+        inner = b.starts[b.sizes > 0]
+        start[inner] = gone[inner]  # spans never cross documents
+        total, spans = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(start))
+        ends = b.starts + b.sizes
+        removed = total[ends] - total[b.starts]
+        kept = [b.raw[s:e] if n == 0 else b.buf[s:e][~gone[s:e]].tobytes() for s, e, n in zip(b.starts.tolist(), ends.tolist(), removed.tolist(), strict=True)]
+        out = {
+            "i": [None if x else str(i) for i, x in zip(b.ids.tolist(), b.null.tolist(), strict=True)],
+            "n_bytes": b.sizes,
+            "n_removed": removed,
+            "n_spans": spans[ends] - spans[b.starts],
+            "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
+        }
+        if texts:
+            out["kept_text"] = [k.decode("utf-8", "ignore") for k in kept]
+        return pd.DataFrame(out)
+
+    result = _with_batches(batches, settled.unionByName(found), run, SCHEMA + ", kept_text string" * texts)
     kind = docs.schema[id_col].dataType
     return result.select(F.col("i").cast(kind).alias(id_col), *[c for c in result.columns if c != "i"])
