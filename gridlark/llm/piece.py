@@ -13,8 +13,10 @@ only id and text are read.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gridlark.runtime import ship
 
-from .common import annotate, per_text
+from .common import annotate, per_text, slices
 
 MARK = "▁"
 
@@ -60,8 +62,7 @@ def _fields(data: bytes):
 
 def parse_model(path: str) -> dict:
     """What the backend needs of a model file. Piece types: 1 normal, 2 unknown, 3 control, 4 user, 6 byte."""
-    with open(path, "rb") as f:  # a resource of the driver, not an input table
-        return parse_bytes(f.read())
+    return parse_bytes(read_model(path))
 
 
 def parse_bytes(data: bytes) -> dict:
@@ -136,32 +137,51 @@ def build(model: dict):
     return tok
 
 
+@lru_cache(maxsize=2)
+def _built(data: bytes):
+    """One tokenizer for a worker process. The library's threads are as many as an executor has cores here."""
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")
+    return build(parse_bytes(data))
+
+
+def read_model(path: str) -> bytes:
+    """A model file's bytes, which are sent to the workers."""
+    with open(path, "rb") as f:  # a resource of the driver, not an input table
+        return f.read()
+
+
 class Codec:
     """Encoding to ids and decoding back, by batches of whole texts."""
 
-    def __init__(self, model: dict):
-        self.tok = build(model)
+    def __init__(self, data: bytes):
+        self.tok = _built(data)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids if t else [] for t, e in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+        """Ids of each text. The library's results hold far more than ids, so they are asked for by small batches."""
+        out: list[list[int]] = []
+        for part in slices(texts, 400_000):
+            got = self.tok.encode_batch_fast(part, add_special_tokens=False)
+            out += [e.ids if t else [] for t, e in zip(part, got, strict=True)]
+        return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tok.decode_batch(ids, skip_special_tokens=False)
+        return [self.tok.decode(x, skip_special_tokens=False) for x in ids]
 
 
-def digests(model: dict):
+def digests(model: bytes):
     def maker():
         codec = Codec(model)
 
         def run(texts: list[str]) -> dict:
-            ids = codec.encode(texts)
-            back = codec.decode(ids)
-            return {
-                "n_tokens": [len(x) for x in ids],
-                "ids_sha256": [hashlib.sha256(np.array(x, dtype="<u4").tobytes()).hexdigest() for x in ids],
-                "text_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back],
-                "round_trip": [a == b for a, b in zip(back, texts, strict=True)],
-            }
+            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "text_sha256": [], "round_trip": []}
+            for part in slices(texts, 400_000):  # ids of a small part at a time are held
+                for text, ids in zip(part, codec.encode(part), strict=True):
+                    back = codec.tok.decode(ids, skip_special_tokens=False)
+                    out["n_tokens"].append(len(ids))
+                    out["ids_sha256"].append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+                    out["text_sha256"].append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                    out["round_trip"].append(back == text)
+            return out
 
         return run
 
@@ -170,7 +190,7 @@ def digests(model: dict):
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id and the ids of the whole text."""
-    model = parse_model(model_path)
+    model = read_model(model_path)
 
     def maker():
         codec = Codec(model)
@@ -181,7 +201,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row of encoded: id and the text of its ids (null ids: empty text)."""
-    model = parse_model(model_path)
+    model = read_model(model_path)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -195,4 +215,4 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: token count, digests of ids and of the text decoded again, and whether it is the same."""
-    return annotate(docs, per_text(digests(parse_model(model_path)), "n_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean"), id_col, text_col)
+    return annotate(docs, per_text(digests(read_model(model_path)), "n_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean"), id_col, text_col)

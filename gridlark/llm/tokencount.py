@@ -28,7 +28,7 @@ from .piece import parse_model
 
 MARK = "▁"
 WIDE = 64  # longest word, mark included, that goes through the trie
-KEPT = 300_000  # words whose counts are kept from slice to slice
+KEPT = 150_000  # words whose counts are kept from slice to slice
 
 
 def unigram_scores(path: str) -> tuple[list[tuple[str, float]], bool]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridlark.runtime import ship
 
-from .common import annotate, per_text, slices
+from .common import annotate, give_back, per_text, slices
 
 WORD = re.compile(r"\w+")
 WINDOW = 6
@@ -165,7 +165,7 @@ class Reader:
     def features(self, texts: list[str]) -> np.ndarray:
         lists = [WORD.findall(t.lower()) for t in texts]
         new = set(chain.from_iterable(lists)).difference(self.seen)
-        if len(self.seen) + len(new) > 500_000:
+        if len(self.seen) + len(new) > 150_000:
             self.seen, self.hits = set(), {}
             new = set(chain.from_iterable(lists))
         self.hits.update(self.auto.match(list(new)))
@@ -308,5 +308,7 @@ def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.3, text_col: s
         for s in batches:
             parts = [run(part)["predicted"] == 0 for part in slices(s)]
             yield pd.Series(np.concatenate(parts) if parts else [], dtype=bool)
+        del run
+        give_back()
 
     return docs.where(clean(F.coalesce(F.col(text_col), F.lit(""))))
