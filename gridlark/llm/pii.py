@@ -226,9 +226,16 @@ SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000) -> list[list[float]]:
-    """Fit on at most `sample` texts that hold a digit or an at sign, picked by a hash of id."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where(F.col("__t").rlike("[0-9@]")).select(F.xxhash64("__id").alias("__h"), "__t").orderBy("__h").limit(sample).collect()
-    return fit(sorted(r[1] for r in rows))
+    """Fit on at most `sample` ids' texts that hold a digit or an at sign: those of least hash.
+
+    Only hashes are ranked; texts are fetched for the chosen ones, so what reaches the
+    driver does not grow with the number of tasks.
+    """
+    rows = docs.select(F.xxhash64(id_col).alias("__h"), F.col(text_col).alias("__t")).where(F.col("__t").rlike("[0-9@]"))
+    least = [r[0] for r in rows.select("__h").orderBy("__h").limit(sample).collect()]
+    if not least:
+        return fit([])
+    return fit(sorted(r[0] for r in rows.where(F.col("__h") <= least[-1]).select("__t").limit(2 * sample).collect()))
 
 
 def find_pii(docs: DataFrame, unary: list[list[float]] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
