@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.functions import crs, grid, vec
-from gridlark.operators import audit, cube, features, lookup, points
+from gridlark.operators import audit, cube, features, geometry, lookup, points
 from gridlark.plans.relations import relation, with_sql
 from gridlark.runtime import table
 
@@ -439,3 +439,32 @@ def windowed_events(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = windowed(e, "ts", "event_type")
     return out.select(F.to_timestamp_ntz(F.col("start").cast("string")).alias("start"), "event_type", "n", r("total", 4).alias("total"))
+
+
+def _triangles(spark, d):
+    """A triangle in each box: lower corners and the middle of the top edge."""
+    t = relation(spark, d, "tiles")
+    p = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
+    return t.selectExpr("grid_id", f"array({p('x0', 'y0')}, {p('x1', 'y0')}, {p('(x0 + x1) / 2', 'y1')}) AS ring")
+
+
+@query(with_sql("tiles") + " SELECT grid_id, " + q("(x1 - x0) * (y1 - y0) / 2") + " AS area, " + q("(x0 + x1) / 2") + " AS cx, " + q("(2 * y0 + y1) / 3") + " AS cy FROM tiles")
+def polygon_area_centroid(spark, d):
+    c = geometry.centroid(F.col("ring"))
+    return _triangles(spark, d).select("grid_id", r(geometry.signed_area(F.col("ring"))).alias("area"), r(c["x"]).alias("cx"), r(c["y"]).alias("cy"))
+
+
+@query(with_sql("pts", "tiles") + " SELECT ord, grid_id FROM pts JOIN tiles ON lat > y0 AND lat < y1 AND (y1 - y0) * (lon - x0) > (x1 - x0) / 2 * (lat - y0) AND (y1 - y0) * (x1 - lon) > (x1 - x0) / 2 * (lat - y0)")
+def point_in_polygon(spark, d):
+    return geometry.points_in_polygons(relation(spark, d, "pts"), _triangles(spark, d), 10.0, "lon", "lat").select("ord", "grid_id")
+
+
+@query(with_sql("tiles") + ", c AS (SELECT grid_id, x0, x1, y0, y1, unnest(range(floor((100 - y1) / 1)::bigint, (floor((100 - y0) / 1) + 1)::bigint)) AS row FROM tiles), e AS (SELECT *, unnest(range(floor(x0)::bigint, (floor(x1) + 1)::bigint)) AS col FROM c) SELECT grid_id, count(*) AS n FROM (SELECT *, col + 0.5::double AS x, 100 - (row + 0.5::double) AS y FROM e) WHERE y > y0 AND y < y1 AND (y1 - y0) * (x - x0) > (x1 - x0) / 2 * (y - y0) AND (y1 - y0) * (x1 - x) > (x1 - x0) / 2 * (y - y0) GROUP BY grid_id")
+def interior_pixels(spark, d):
+    return geometry.interior_pixels(_triangles(spark, d), 0.0, 100.0, 1.0).groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def farthest_points(spark, d):
+    p = relation(spark, d, "loc").withColumn("g", F.col("ord") % 20)
+    return geometry.farthest_points(p, "g", "ord", "x", "y", 5)
