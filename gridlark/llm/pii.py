@@ -187,7 +187,10 @@ def finder(unary: list[list[float]], chain: float = 0.2, skip: float = 7.0, thre
                         cut = len(t) - len(t.lstrip(".,;:!?()[]\"'"))
                         core = t.strip(".,;:!?()[]\"'")
                         if core:
-                            added[k].append((s + cut, s + cut + len(core)))
+                            s += cut
+                            if added[k] and s - added[k][-1][1] <= 2:  # neighbours of one kind are one span
+                                s = added[k].pop()[0]
+                            added[k].append((s, toks[i][0] + cut + len(core)))
             text_of = lambda rows: ",".join(f"{KINDS[k]}:{s}:{e}" for k in range(4) for s, e in sorted(set(rows[k])))
             for k in range(4):
                 out[f"n_{KINDS[k]}"].append(len(spans[k]))
