@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 BANDS = 64
 ZERO = 1e-8
+#: Fixed value: prefix of a year in wide tables' column names.
+PREFIX = "aef"
 
 
 def doubles(v: Column) -> Column:
@@ -56,4 +58,4 @@ def angle_degrees(a: Column, b: Column) -> Column:
 
 def band_columns(year: int, spatial: str = "center") -> list[str]:
     """Names of a year's bands in a wide table."""
-    return [f"aef{year}_{spatial}_A{b:02d}" for b in range(BANDS)]
+    return [f"{PREFIX}{year}_{spatial}_A{b:02d}" for b in range(BANDS)]

@@ -121,7 +121,7 @@ def discover_years(columns: list[str], spatial: str = "center") -> list[int]:
 
     found: dict[int, set[str]] = {}
     for c in columns:
-        if m := re.fullmatch(rf"aef(\d{{4}})_{spatial}_A(\d\d)", c):
+        if m := re.fullmatch(rf"{vec.PREFIX}(\d{{4}})_{spatial}_A(\d\d)", c):
             found.setdefault(int(m[1]), set()).add(m[2])
     return sorted(y for y, b in found.items() if len(b) == vec.BANDS)
 
@@ -137,11 +137,11 @@ def long_to_wide(df: DataFrame, keys: list[str], years: list[int], spatial: str
     """One column per year and band, with completeness flags."""
     one = df.groupBy(*keys).agg(*[F.first(F.when(F.col("year") == y, F.col("embedding")), ignorenulls=True).alias(f"__{y}") for y in years])
     cols = [F.col(f"__{y}")[b].alias(c) for y in years for b, c in enumerate(vec.band_columns(y, spatial))]
-    flags = [vec.present(F.col(f"__{y}")).alias(f"aef{y}_complete") for y in years]
+    flags = [vec.present(F.col(f"__{y}")).alias(f"{vec.PREFIX}{y}_complete") for y in years]
     every = F.lit(True)
     for y in years:
         every = every & vec.present(F.col(f"__{y}"))
-    return one.select(*keys, *cols, *flags, every.alias("aef_complete_all_years"))
+    return one.select(*keys, *cols, *flags, every.alias(f"{vec.PREFIX}_complete_all_years"))
 
 
 def nth_rank(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
