@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 A, FLAT, K0 = 6378137.0, 1 / 298.257223563, 0.9996
@@ -62,3 +62,38 @@ def equal_area(lon: Column, lat: Column) -> tuple[Column, Column]:
     s = F.sin(F.radians(lat))
     q = (1 - e2) * (s / (1 - e2 * s * s) + F.atanh(E1 * s) / E1)
     return A * k * F.radians(lon), A * q / (2 * k)
+
+
+#: Letters of latitude bands, and of rows and columns of 100 km squares.
+BAND_LETTERS = "CDEFGHJKLMNPQRSTUVWX"
+COLUMN_LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZ"
+ROW_LETTERS = "ABCDEFGHJKLMNPQRSTUV"
+
+
+def mgrs_zone(lon: Column, lat: Column) -> Column:
+    """UTM zone with the wider zones of south-west Norway and Svalbard."""
+    plain = F.least(F.lit(60), F.greatest(F.lit(1), (F.floor((lon + 180) / 6) + 1).cast("int")))
+    north = lat >= 72
+    span = lambda a, b: (lon >= a) & (lon < b)
+    return (
+        F.when((lat >= 56) & (lat < 64) & span(3, 12), 32)
+        .when(north & span(0, 9), 31)
+        .when(north & span(9, 21), 33)
+        .when(north & span(21, 33), 35)
+        .when(north & span(33, 42), 37)
+        .otherwise(plain)
+    )
+
+
+def mgrs_tiles(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """df with mgrs_tile, the five characters of the 100 km square; null outside 80 S to 84 N or where not finite."""
+    ok = F.coalesce((F.abs(F.col(lon)) <= 180) & F.col(lat).between(-80.0, 84.0) & ~F.isnan(lon) & ~F.isnan(lat), F.lit(False))
+    z = df.withColumn("__ok", ok).withColumn("__z", mgrs_zone(F.col(lon), F.col(lat)))
+    x, y = utm(F.col(lon), F.col(lat), F.col("__z"), F.col(lat) < 0)
+    z = z.withColumn("__e", x).withColumn("__n", y)
+    letter = lambda s, k: F.substr(F.lit(s), (k + 1).cast("int"), F.lit(1))
+    band = F.least(F.lit(19), F.floor((F.col(lat) + 80) / 8))
+    column = (F.col("__z") - 1) % 3 * 8 + F.floor(F.col("__e") / 100000) - 1
+    row = (F.floor(F.col("__n") / 100000) + F.when(F.col("__z") % 2 == 0, 5).otherwise(0)) % 20
+    tile = F.concat(F.lpad(F.col("__z").cast("string"), 2, "0"), letter(BAND_LETTERS, band), letter(COLUMN_LETTERS, column), letter(ROW_LETTERS, row))
+    return z.withColumn("mgrs_tile", F.when(F.col("__ok"), tile)).drop("__ok", "__z", "__e", "__n")

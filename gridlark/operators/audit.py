@@ -89,3 +89,23 @@ def content_signature(df: DataFrame, columns: list[str], buckets: int = 256) ->
     parts = parts.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")).alias("s"), F.sum(F.conv(F.substring("h", 16, 15), 16, 10).cast("decimal(38,0)")).alias("t"))
     whole = parts.agg(F.sum("n").alias("n_rows"), F.array_sort(F.collect_list(F.concat_ws(":", "b", "n", "s", "t"))).alias("all"))
     return whole.select(F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.sha2(F.concat_ws(",", "all"), 256).alias("signature"))
+
+
+def parse_log(lines: DataFrame, marker: str, schema: str, column: str = "value") -> DataFrame:
+    """Events of an append-only log: lines of the form `marker {json}`; other lines are left out."""
+    hit = F.col(column).startswith(marker + " ")
+    return lines.where(hit).select(F.from_json(F.substring(column, len(marker) + 2, 1 << 30), schema).alias("e")).select("e.*")
+
+
+def report_summary(reports: DataFrame, peak: str, workflow: str, ready: list[Column]) -> DataFrame:
+    """One row: reports, distinct workflows, median and largest peak, and whether each kind in `ready` was seen."""
+    seen = F.lit(True)
+    for r in ready:
+        seen = seen & F.coalesce(F.bool_or(r), F.lit(False))
+    return reports.agg(F.count(F.lit(1)).alias("n_reports"), F.countDistinct(workflow).alias("n_workflows"), F.percentile(peak, 0.5).alias("median_peak"), F.max(peak).alias("max_peak"), seen.alias("calibration_ready"))
+
+
+def probes_pass(probes: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+    """by, probes and whether each probe holds a finite value."""
+    finite = F.exists(vector, vec.is_finite)
+    return probes.groupBy(by).agg(F.count(F.lit(1)).alias("n_probes"), F.bool_and(F.coalesce(finite, F.lit(False))).alias("passed"))

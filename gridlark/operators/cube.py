@@ -48,19 +48,27 @@ def bbox_window(x0: float, y0: float, bounds: tuple[float, float, float, float],
     return math.floor((y0 - north) / step), math.ceil((y0 - south) / step), math.floor((west - x0) / step), math.ceil((east - x0) / step)
 
 
-def patches(points: DataFrame, pixels: DataFrame, key: str, size: int, value: str) -> DataFrame:
-    """key, n_filled and patch: size x size values around each located point, row-major, null where no pixel is."""
+def patches(points: DataFrame, pixels: DataFrame, key: str, size: int, value: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """key, n_filled and patch: size x size values around each located point, row-major, null where no pixel is.
+
+    within: columns of both sides, such as a tile's id, beyond which a patch does not reach.
+    """
     if size < 1 or size % 2 == 0:
         raise ValueError("patch size must be a positive odd number")
     half = size // 2
     offsets = F.sequence(F.lit(-half), F.lit(half))
-    cells = points.select(key, "row", "col", F.posexplode(F.flatten(F.transform(offsets, lambda dr: F.transform(offsets, lambda dc: F.struct(dr.alias("dr"), dc.alias("dc")))))).alias("k", "o"))
-    cells = cells.select(key, "k", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
-    got = cells.join(pixels.select("row", "col", F.col(value).alias("__v")), ["row", "col"], "left")
+    cells = points.select(key, *within, "row", "col", F.posexplode(F.flatten(F.transform(offsets, lambda dr: F.transform(offsets, lambda dc: F.struct(dr.alias("dr"), dc.alias("dc")))))).alias("k", "o"))
+    cells = cells.select(key, *within, "k", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
+    got = cells.join(pixels.select(*within, "row", "col", F.col(value).alias("__v")), [*within, "row", "col"], "left")
     patch = F.transform(F.array_sort(F.collect_list(F.struct("k", "__v"))), lambda s: s["__v"])
     return got.groupBy(key).agg(F.count("__v").alias("n_filled"), patch.alias("patch"))
 
 
+def patch_quality(patches: DataFrame, size: int) -> DataFrame:
+    """patches with patch_valid_fraction and patch_complete."""
+    return patches.withColumn("patch_valid_fraction", F.col("n_filled") / float(size * size)).withColumn("patch_complete", F.col("n_filled") == size * size)
+
+
 def _bucketed(points: DataFrame, boxes: DataFrame, x: str, y: str, span: float) -> DataFrame:
     """Pairs of points and the boxes (x0, x1, y0, y1, grid_id) that hold them, half-open, by equal buckets."""
     cell = lambda c: F.floor(c / span)

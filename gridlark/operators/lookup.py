@@ -38,3 +38,69 @@ def search(catalog: DataFrame, text: str, scheme: str | None = None) -> DataFram
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Catalogue rows replaced by key."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def boxes_meet(left: DataFrame, right: DataFrame, left_id: str, right_id: str, span: float, touching: bool = False) -> DataFrame:
+    """left_id, right_id of boxes (x0, x1, y0, y1) that share area, or only an edge where touching.
+
+    Both sides are dealt into buckets of `span`; a pair is kept in the first bucket that both have, so none repeats.
+    """
+    cell = lambda c: F.floor(c / span)
+
+    def dealt(df: DataFrame, key: str, p: str) -> DataFrame:
+        out = df.select(F.col(key).alias(f"{p}id"), *[F.col(c).alias(p + c) for c in ("x0", "x1", "y0", "y1")])
+        out = out.withColumn("__bx", F.explode(F.sequence(cell(F.col(p + "x0")), cell(F.col(p + "x1")))))
+        return out.withColumn("__by", F.explode(F.sequence(cell(F.col(p + "y0")), cell(F.col(p + "y1")))))
+
+    met = dealt(left, left_id, "l").join(dealt(right, right_id, "r"), ["__bx", "__by"])
+    x0, x1 = F.greatest("lx0", "rx0"), F.least("lx1", "rx1")
+    y0, y1 = F.greatest("ly0", "ry0"), F.least("ly1", "ry1")
+    share = (x0 <= x1) & (y0 <= y1) if touching else (x0 < x1) & (y0 < y1)
+    first = (cell(x0) == F.col("__bx")) & (cell(y0) == F.col("__by"))
+    return met.where(share & first).select(F.col("lid").alias(left_id), F.col("rid").alias(right_id))
+
+
+def select_ids(df: DataFrame, key: str, wanted: list[str]) -> DataFrame:
+    """request_order and the rows of the wanted ids (letter case aside); ids that are not there keep a row, found false.
+
+    The ids are literals of the plan, so that the scan can use them; their number is the caller's list.
+    """
+    ids = [w.strip().upper() for w in wanted]
+    if len(set(ids)) != len(ids) or not ids:
+        raise ValueError("ids have to be distinct, and one at least")
+    order = df.sparkSession.createDataFrame(list(enumerate(ids)), "request_order int, __id string")
+    rows = df.where(F.upper(F.col(key)).isin(ids)).withColumn("__id", F.upper(F.col(key)))
+    out = order.join(rows.withColumn("found", F.lit(True)), "__id", "left")
+    return out.withColumn(key, F.coalesce(F.col(key), F.col("__id"))).withColumn("found", F.coalesce("found", F.lit(False))).drop("__id")
+
+
+def select_region(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The one row of an administrative area, given by its exact names; none or several are an error."""
+    out = df
+    for c, v in names.items():
+        out = out.where(F.col(c) == v)
+    n = out.limit(2).count()
+    if n != 1:
+        raise ValueError("no such area" if n == 0 else "the names fit several areas")
+    return out.withColumn("admin_level", F.lit(len(names) - 1))
+
+
+def dissolve(features: DataFrame, by: list[str], name: str, ring: str | None = None) -> DataFrame:
+    """by, feature_count, joined distinct names and, where asked for, the parts as a list of rings (a multi-polygon)."""
+    parts = [F.collect_list(ring).alias("rings")] if ring else []
+    return features.groupBy(*by).agg(F.count(F.lit(1)).alias("feature_count"), F.array_join(F.array_sort(F.collect_set(name)), "|").alias("names"), *parts)
+
+
+def ids_by(intersections: DataFrame, by: list[str]) -> DataFrame:
+    """by and the sorted distinct grid ids."""
+    return intersections.groupBy(*by).agg(F.array_sort(F.collect_set("grid_id")).alias("grid_ids")).withColumn("n_grids", F.size("grid_ids").cast("long"))
+
+
+def lookup_report(intersections: DataFrame) -> DataFrame:
+    """scheme, rows, distinct grids and regions."""
+    return intersections.groupBy("scheme").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("grid_id").alias("n_grids"), F.countDistinct("region_id").alias("n_regions"))
+
+
+def write_ids(intersections: DataFrame, folder: str) -> None:
+    """Distinct ids as text, a folder by scheme."""
+    intersections.select("scheme", "grid_id").distinct().repartition("scheme").sortWithinPartitions("scheme", "grid_id").write.partitionBy("scheme").text(folder)

@@ -47,3 +47,91 @@ def read_catalog(df: DataFrame, key: str = "grid_id") -> DataFrame:
 def fingerprint(df: DataFrame) -> DataFrame:
     """Name, size and modification time of each file that a file-based table reads."""
     return df.select("_metadata.file_name", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+
+
+def load_catalogs(spark: SparkSession, root: str, supplements: list[str] = ()) -> DataFrame:
+    """The root catalogue and its supplements as one; columns that one lacks are null."""
+    out = spark.read.parquet(root)
+    for path in supplements:
+        out = out.unionByName(spark.read.parquet(path), allowMissingColumns=True)
+    return out
+
+
+def discover(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """path, length and modification time of files below a folder, hidden ones left out; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
+    return files.select("path", "length", "modificationTime").where(~F.col("path").rlike(r"/\.[^/]*(/|$)"))
+
+
+def is_geoparquet(path: str) -> bool:
+    """Whether a Parquet footer has the key of GeoParquet."""
+    import pyarrow.parquet as pq
+
+    return b"geo" in (pq.read_schema(path).metadata or {})
+
+
+def wkb_points(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """df with lon and lat of WKB points, null for null and empty geometries; other types are an error."""
+    import struct
+
+    import pandas as pd
+
+    @F.pandas_udf("lon double, lat double")
+    def parse(blobs: pd.Series) -> pd.DataFrame:
+        out = []
+        for b in blobs:
+            if b is None:
+                out.append((None, None))
+                continue
+            order = "<" if b[0] == 1 else ">"
+            if struct.unpack_from(order + "I", b, 1)[0] % 1000 != 1:
+                raise ValueError("only points")
+            x, y = struct.unpack_from(order + "dd", b, 5)
+            out.append((None, None) if x != x else (x, y))
+        return pd.DataFrame(out, columns=["lon", "lat"], dtype="float64")
+
+    return df.withColumn("__p", parse(geometry)).withColumns({"lon": F.nanvl("__p.lon", F.lit(None)), "lat": F.nanvl("__p.lat", F.lit(None))}).drop("__p")
+
+
+#: Names that mean WGS84 degrees.
+CRS_NAMES = ("epsg:4326", "urn:ogc:def:crs:epsg::4326", "crs84", "ogc:crs84", "urn:ogc:def:crs:ogc:1.3:crs84")
+
+
+def read_areas(text: str) -> list[tuple[dict, list[list[list[tuple[float, float]]]]]]:
+    """(properties, polygons as lists of rings) of each GeoJSON area, holes included.
+
+    Anything but closed, finite rings of WGS84 polygons in range is an error.
+    """
+    import json
+    import math
+
+    doc = json.loads(text)
+    kind = doc.get("type") if isinstance(doc, dict) else None
+    features = doc.get("features") if kind == "FeatureCollection" else [doc] if kind == "Feature" else [{"type": "Feature", "geometry": doc}]
+    if not features:
+        raise ValueError("no areas")
+
+    def number(v, most):
+        return type(v) in (int, float) and math.isfinite(v) and abs(v) <= most
+
+    def ring(r):
+        if not isinstance(r, list) or len(r) < 4 or r[0][:2] != r[-1][:2]:
+            raise ValueError("a ring needs four corners at least and has to be closed")
+        if not all(len(p) > 1 and number(p[0], 180) and number(p[1], 90) for p in r):
+            raise ValueError("coordinates have to be finite degrees in range")
+        return [(float(p[0]), float(p[1])) for p in r[:-1]]
+
+    out = []
+    for f in features:
+        g = f.get("geometry") or {}
+        for part in (doc, f, g):
+            named = (part.get("crs") or {}).get("properties", {}).get("name")
+            if named is not None and str(named).lower() not in CRS_NAMES:
+                raise ValueError("coordinates have to be WGS84 degrees")
+        if g.get("type") not in ("Polygon", "MultiPolygon"):
+            raise ValueError("only polygons")
+        shapes = [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"]
+        if not shapes or not all(shapes):
+            raise ValueError("an area needs an outer ring")
+        out.append((f.get("properties") or {}, [[ring(r) for r in s] for s in shapes]))
+    return out

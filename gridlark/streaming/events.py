@@ -25,3 +25,12 @@ def sessions(events: DataFrame, ts: str, by: str, gap: str = "6 hours", late: st
 def first_seen(events: DataFrame, ts: str, keys: list[str], late: str = "1 day") -> DataFrame:
     """Rows whose keys were not seen within the watermark."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def append_once(stream: DataFrame, folder: str, checkpoint: str, run: str):
+    """A query that writes each micro-batch into its own folder by (run, batch): a batch that is retried replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/run={run}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

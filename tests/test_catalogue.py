@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+import gridlark.catalogue_deliveries  # noqa: F401  (registers its queries)
 from gridlark.catalogue import ORACLES, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
