@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +75,6 @@ def wkb_points(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """df with lon and lat of WKB points, null for null and empty geometries; other types are an error."""
     import struct
 
-    import pandas as pd
-
     @F.pandas_udf("lon double, lat double")
     def parse(blobs: pd.Series) -> pd.DataFrame:
         out = []
