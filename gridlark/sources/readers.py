@@ -1,4 +1,4 @@
-"""Sources: tables by suffix, GeoJSON points, catalogues, fingerprints."""
+"""Sources: tables and vector files by suffix, catalogues, fingerprints, areas."""
 
 from __future__ import annotations
 
@@ -6,16 +6,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUFFIXES = (".csv", ".parquet", ".geojson", ".json")
+from gridlark.sources import vectors
 
+SUFFIXES = (".csv", ".parquet", ".geojson", ".json", ".shp", ".gpkg")
 
-def read_points(spark: SparkSession, path: str, id_field: str | None = None, most: int | None = None) -> DataFrame:
+
+def read_points(spark: SparkSession, path: str, id_field: str | None = None, most: int | None = None, layer: str | None = None, mode: str = "representative") -> DataFrame:
     """A point table with sample_id, lon, lat and what else the file has.
 
-    `most` is a guard: a longer table is an error, not cut.
+    `most` is a guard: a longer table is an error, not cut. layer and mode are for vector files, whose areas become
+    points inside (representative) or centroids.
     """
     low = path.lower()
-    if low.endswith(".csv"):
+    if low.endswith((".shp", ".gpkg")):
+        df = vectors.to_points(vectors.read_features(spark, path, layer), mode, id_field)
+        id_field = None
+    elif low.endswith(".csv"):
         df = spark.read.csv(path, header=True, inferSchema=True)
     elif low.endswith(".parquet"):
         df = spark.read.parquet(path)
