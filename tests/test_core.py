@@ -94,7 +94,7 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.read_points(spark, f"{tmp_path}/p.csv", id_field="site", most=1)
     with pytest.raises(ValueError):
-        readers.read_points(spark, f"{tmp_path}/p.shp")
+        readers.read_points(spark, f"{tmp_path}/p.kml")
 
 
 def test_cube_on_disk(spark, tmp_path):
