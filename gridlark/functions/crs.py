@@ -87,13 +87,17 @@ def mgrs_zone(lon: Column, lat: Column) -> Column:
 
 def mgrs_tiles(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """df with mgrs_tile, the five characters of the 100 km square; null outside 80 S to 84 N or where not finite."""
-    ok = F.coalesce((F.abs(F.col(lon)) <= 180) & F.col(lat).between(-80.0, 84.0) & ~F.isnan(lon) & ~F.isnan(lat), F.lit(False))
-    z = df.withColumn("__ok", ok).withColumn("__z", mgrs_zone(F.col(lon), F.col(lat)))
-    x, y = utm(F.col(lon), F.col(lat), F.col("__z"), F.col(lat) < 0)
-    z = z.withColumn("__e", x).withColumn("__n", y)
+    ok = (F.abs(F.col(lon)) <= 180) & F.col(lat).between(-80.0, 84.0)
+    # Coordinates that are out become null, and so does their tile: a branch around the series would keep generated
+    # code from computing its shared parts once.
+    z = df.withColumn("__x", F.when(ok, F.col(lon))).withColumn("__y", F.when(ok, F.col(lat)))
+    lon, lat = F.col("__x"), F.col("__y")
+    z = z.withColumn("__z", mgrs_zone(lon, lat))
+    x, y = utm(lon, lat, F.col("__z"), lat < 0)
     letter = lambda s, k: F.substr(F.lit(s), (k + 1).cast("int"), F.lit(1))
-    band = F.least(F.lit(19), F.floor((F.col(lat) + 80) / 8))
-    column = (F.col("__z") - 1) % 3 * 8 + F.floor(F.col("__e") / 100000) - 1
-    row = (F.floor(F.col("__n") / 100000) + F.when(F.col("__z") % 2 == 0, 5).otherwise(0)) % 20
+    band = F.least(F.lit(19), F.floor((lat + 80) / 8))
+    column = (F.col("__z") - 1) % 3 * 8 + F.floor(x / 100000) - 1
+    row = (F.floor(y / 100000) + F.when(F.col("__z") % 2 == 0, 5).otherwise(0)) % 20
     tile = F.concat(F.lpad(F.col("__z").cast("string"), 2, "0"), letter(BAND_LETTERS, band), letter(COLUMN_LETTERS, column), letter(ROW_LETTERS, row))
-    return z.withColumn("mgrs_tile", F.when(F.col("__ok"), tile)).drop("__ok", "__z", "__e", "__n")
+    # least() skips nulls, so the band letter alone would not be null.
+    return z.withColumn("mgrs_tile", F.concat(tile, F.when(lat.isNotNull(), ""))).drop("__x", "__y", "__z")
