@@ -1,0 +1,228 @@
+"""Near dedup by exact Jaccard similarity of word shingles, for the corpus pipeline.
+
+Two texts are linked where the Jaccard similarity of their sets of 5-word shingles
+(XXH64, seed 42, of the words that op8 reads) is 0.8 or more. Candidates come from a
+prefix filter that misses no such pair: of n shingles in any common order, the first
+n - ceil(0.8 n) + 1 of both texts have one in common. The order is by hash, with the
+shingles that are frequent in a bounded sample last; the sample decides speed only.
+Counts of the shingles in 64 bins bound the symmetric difference from below and leave
+out most candidates; the rest are compared on their whole sets.
+
+A shingle in at most `few` prefixes gives all its pairs. A more frequent one gives
+first a star and a chain, so that large groups of near copies fall together in linear
+time, and then all pairs between the components so found, which makes the result equal
+to that of all pairs.
+
+Defined cases: texts of fewer words than a shingle are one shingle; texts without words
+are near copies of each other; equal sets are one class; rows with null ids stay.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from gridlark.runtime import materialize, parallelism, ship
+
+from .common import per_text, text
+from .components import components
+
+WORDS = 5
+BINS = 64
+#: Similarity as a fraction of whole numbers.
+NUM, DEN = 4, 5
+#: Ids up to which a list of them is broadcast.
+BROADCAST = 2_000_000
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    digest = partial(xxhash.xxh64_intdigest, seed=42)
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    if len(w) < words:
+        return np.array([digest(b" ".join(w))], dtype=np.uint64)
+    return np.unique(np.fromiter(map(digest, map(b" ".join, zip(*(w[k:] for k in range(words))))), dtype=np.uint64, count=len(w) - words + 1))
+
+
+def node_of(h: np.ndarray) -> np.int64:
+    """Digest of a set, which names its class."""
+    return np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)
+
+
+def whole_sets(texts: list[str]) -> dict:
+    sets = [shingles(t) for t in texts]
+    return {"node": [node_of(h) for h in sets], "set": [h.view(np.int64) for h in sets]}
+
+
+def prefixes(texts: list[str], hot: np.ndarray) -> dict:
+    """The set's digest, size, prefix and counts in bins, of each text."""
+    out: dict[str, list] = {"node": [], "n": [], "keys": [], "bins": []}
+    for t in texts:
+        h = shingles(t)
+        n = len(h)
+        order = h
+        if len(hot) and n:
+            often = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+            order = np.concatenate([h[~often], h[often]])
+        take = n - -(-NUM * n // DEN) + 1 if n else 0
+        out["node"].append(node_of(h))
+        out["n"].append(n)
+        out["keys"].append(order[:take].view(np.int64))
+        out["bins"].append(np.minimum(np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+    return out
+
+
+def frequent(docs: DataFrame, text_col: str, id_col: str, sample: int = 5000, least: int = 10, most: int = 100_000) -> np.ndarray:
+    """Sorted hashes of shingles held by `least` or more of `sample` texts of least hash of the id."""
+    udf = per_text(lambda: lambda texts: {"keys": [shingles(t).view(np.int64) for t in texts]}, "keys array<long>")
+    ranks = docs.select(F.xxhash64(id_col).alias("__h"))
+    top = [r[0] for r in ranks.orderBy("__h").limit(sample).collect()]
+    if not top:
+        return np.zeros(0, dtype=np.uint64)
+    some = docs.where(F.xxhash64(id_col) <= top[-1]).limit(2 * sample).select(F.explode(udf(text(text_col))["keys"]).alias("key"))
+    rows = some.groupBy("key").count().where(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(most).select("key").collect()
+    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+
+
+def may_link(n_a: np.ndarray, n_b: np.ndarray, bins_a: np.ndarray, bins_b: np.ndarray) -> np.ndarray:
+    """False only where the similarity is surely less: |A ^ B| <= (|A| + |B|) / 9 is needed, and bins bound it."""
+    apart = np.abs(bins_a.astype(np.int16) - bins_b.astype(np.int16)).sum(-1, dtype=np.int64)
+    return apart * (NUM + DEN) <= (n_a + n_b) * (DEN - NUM)
+
+
+def by_key(work):
+    """Feed whole groups of equal key to work(pdf); rows come sorted by key."""
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            k = pdf["key"].to_numpy()
+            if held and held[0]["key"].iloc[0] == k[0] and k[0] == k[-1]:
+                held.append(pdf)  # one group goes on
+                continue
+            cut = int(np.searchsorted(k == k[-1], True))
+            if cut or held:
+                done = [*held, pdf.iloc[:cut]] if cut else held
+                yield from work(pd.concat(done, ignore_index=True))
+            held = [pdf.iloc[cut:]]
+        if held:
+            yield from work(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _columns(pdf):
+    return pdf["key"].to_numpy(), pdf["node"].to_numpy(), pdf["n"].to_numpy(), np.frombuffer(b"".join(pdf["bins"]), dtype=np.uint8).reshape(-1, BINS)
+
+
+def _pairs(node, i, j):
+    return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
+
+
+def first_pairs(few: int):
+    """All candidates of small groups; a star and a chain of larger ones."""
+
+    def work(pdf):
+        key, node, n, bins = _columns(pdf)
+        starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
+        size = np.diff(np.append(starts, len(key)))
+        small = np.repeat(size <= few, size)
+        i, j = [np.nonzero(~small)[0]], [np.repeat(starts, size)[~small]]
+        for d in range(1, few):
+            at = np.nonzero(key[:-d] == key[d:])[0]
+            if not len(at):
+                break
+            at = at if d == 1 else at[small[at]]
+            i.append(at)
+            j.append(at + d)
+        i, j = np.concatenate(i), np.concatenate(j)
+        for s in range(0, len(i), 200_000):
+            a, b = i[s : s + 200_000], j[s : s + 200_000]
+            ok = (a != b) & may_link(n[a], n[b], bins[a], bins[b])
+            yield _pairs(node, a[ok], b[ok])
+
+    return work
+
+
+def cross_pairs(pdf):
+    """All candidates between different components of each group."""
+    key, node, n, bins = _columns(pdf)
+    root = pdf["root"].to_numpy()
+    starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        _, kind, count = np.unique(root[s:e], return_inverse=True, return_counts=True)
+        if len(count) < 2:
+            continue
+        others = np.nonzero(kind != count.argmax())[0] + s
+        step = max(1, 50_000 // (e - s))
+        for at in range(0, len(others), step):
+            q = others[at : at + step]
+            ok = (root[q][:, None] != root[None, s:e]) & may_link(n[q][:, None], n[None, s:e], bins[q][:, None], bins[None, s:e])
+            i, j = np.nonzero(ok)
+            if len(i):
+                yield _pairs(node, q[i], j + s)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = 16) -> DataFrame:
+    """One row per row of docs: id and component_id, the smallest id reachable over links."""
+    spark = docs.sparkSession
+    ship(spark)
+    hot = frequent(docs, text_col, id_col)
+    udf = per_text(lambda: lambda texts: prefixes(texts, hot), "node long, n int, keys array<long>, bins binary")
+    prints = materialize(docs.select(F.col(id_col).alias("__id"), udf(text(text_col)).alias("__r")).select("__id", "__r.*"))
+    classes = materialize(prints.dropDuplicates(["node"]).select("node", "n", "keys", "bins"))
+    slim = classes.select("node", "n", "bins")
+    spread = classes.select("node", F.explode("keys").alias("key"))
+    shared = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    meet = materialize(spread.select("key", "node", shared.alias("size")).where("size > 1"))
+    order = lambda df: df.repartition(parallelism(spark), "key").sortWithinPartitions("key", "node")
+    pairs = order(meet.join(slim, "node").select("key", "node", "n", "bins")).mapInPandas(by_key(first_pairs(few)), "a long, b long").distinct()
+    links = materialize(verified(pairs, prints, docs, id_col, text_col))
+    found = components(links)
+    large = meet.where(F.col("size") > few)
+    if not large.isEmpty():
+        named = large.join(slim, "node").join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("key", "node", "n", "bins", F.coalesce("root", "node").alias("root"))
+        more = order(named).mapInPandas(by_key(cross_pairs), "a long, b long").distinct()
+        more = materialize(verified(more, prints, docs, id_col, text_col))
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
+    member = prints.groupBy("node").agg(F.min("__id").alias("least")).join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    tops = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    top_of = member.join(tops, "root").select(F.col("node").alias("__node"), "component_id")
+    return prints.join(top_of, F.col("node") == F.col("__node")).select(F.col("__id").alias(id_col), "component_id")
+
+
+def slight(ids: DataFrame) -> DataFrame:
+    """A column of ids, marked for broadcast where it is counted to be short, so that texts need not be shuffled."""
+    ids = materialize(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
+
+
+def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets have the similarity. Only texts of candidates are read again."""
+    pairs = materialize(pairs)
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    udf = per_text(lambda: whole_sets, "node long, set array<long>")
+    one = slight(prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("__id").alias("__one")).select("__one"))
+    rows = docs.join(one, docs[id_col] == one["__one"], "left_semi").select(udf(text(text_col)).alias("__r")).select("__r.*")
+    sets = materialize(rows.dropDuplicates(["node"]))
+    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("__a")), sets.select(F.col("node").alias("b"), F.col("set").alias("__b"))
+    both = pairs.join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("__a", "__b"))
+    return both.where(shared * (NUM + DEN) >= (F.size("__a") + F.size("__b")) * NUM).select("a", "b")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the smallest id of each component; all columns stay. Ids have to be distinct; rows without one stay."""
+    known = docs.where(F.col(id_col).isNotNull())
+    gone = slight(near_groups(known, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")))
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
