@@ -40,7 +40,7 @@ def line_features(line: str, seen: bool) -> list[float]:
         syms > 0,
         syms * 20 > n,
         upper * 2 > len(words),
-        sum(map(str.isdigit, line)) * 5 > n if n < 400 else False,
+        sum(map(str.isdigit, line)) * 5 > n,
         _STOP.search(line[-8:]) is not None,
         seen,
         len(words) >= 6 and len(set(words)) * 2 < len(words),
