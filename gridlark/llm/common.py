@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.runtime import ship
+from gridlark.runtime import materialize, ship
 
 #: White space of the contracts: space and tab to carriage return, as a regular expression class.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -70,3 +70,55 @@ def annotate(df: DataFrame, udf, id_col: str = "doc_id", text_col: str = "text")
 def text(name: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Rows up to which a slim table is broadcast.
+BROADCAST = 2_000_000
+
+
+def slight(slim: DataFrame) -> DataFrame:
+    """A table of ids and digests, marked for broadcast where it is counted to be short, so that texts need not be shuffled."""
+    slim = materialize(slim)
+    return F.broadcast(slim) if slim.count() <= BROADCAST else slim
+
+
+def digest_of(text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.md5(text.cast("binary"))
+
+
+def only_rows(docs: DataFrame, named: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """docs without the rows that named (__id, __key, stays) lists; of repeated rows listed as staying, one stays.
+
+    Rows are known by id and key (a digest of the text), not by id alone, so rows that share an id don't go together.
+    """
+    named = materialize(named.select("__id", "__key", "stays").distinct())
+    same = lambda other: docs[id_col].eqNullSafe(other["__id"]) & (key == other["__key"])
+    gone = slight(named.select("__id", "__key"))
+    out = docs.join(gone, same(gone), "left_anti")
+    again = named.where("stays").select("__id", "__key")
+    if not again.isEmpty():
+        again = slight(again)
+        back = docs.join(again, same(again), "left_semi").withColumn("__of", key)
+        out = out.unionByName(back.dropDuplicates([id_col, "__of"]).drop("__of"))
+    return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
+    """Texts and labels (0, 1) of at most `sample` documents of each label.
+
+    Ids and hashes are ranked, texts are fetched for the chosen rows only: what reaches the
+    driver is at most 2 * sample whole texts, whatever repeats. An id with two labels counts as the larger.
+    """
+    marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropna().groupBy("__id").agg(F.max("__y").alias("__y"))
+    # Ids are ranked by hash before texts are joined, so a bounded number of ids is broadcast.
+    few = lambda y: marks.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    ids = few(0).unionByName(few(1))
+    rows = docs.select(F.col(id_col).alias("__id"), text(text_col).alias("__t"))
+    met = rows.join(F.broadcast(ids), "__id").select("__id", "__y", "__t")
+    rank = [F.xxhash64("__id"), F.col("__id"), digest_of(F.col("__t"))]
+    # Of rows that share an id only as many as fit the bound are taken; an order by digest makes that the same on every run.
+    out = []
+    for y in (0, 1):
+        out += met.where(F.col("__y") == y).orderBy(*rank).limit(sample).collect()
+    return [r["__t"] for r in out], [r["__y"] for r in out]

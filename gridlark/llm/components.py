@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridlark.runtime import materialize
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b), root the smallest node reachable.
 
     Alternates large-star and small-star steps until no link changes. Every step
@@ -18,7 +18,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: neighbours above a node hang below the smallest of its neighbourhood
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("__m")).select(F.col("a").alias("__n"), F.least("a", "__m").alias("__m"))
@@ -31,8 +31,5 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         e = materialize(down.unionByName(hung).distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if now == before:
-            break
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -7,13 +7,16 @@ equal, so classes meet under the pairs of parts that they share. Within a meetin
 fingerprints are stored as vertical bit planes, 64 to a machine word; the distances
 of one fingerprint to all others of a block come from carry-save counters over the
 planes, and a block is abandoned as soon as all its counters exceed the radius.
+Meetings of two are compared together, pair by pair, on planes of the same kind.
 Meetings of more than a block are cut into pairs of blocks dealt over tasks. Each
 block pair returns a spanning forest of its links, not all of them, which keeps
 components the same. Components are contracted on the cluster.
 
 Defined cases: null and empty texts have no words: fingerprint zero, linked like any
 other; fewer words than a shingle are one shingle; null ids keep their row, with the
-component of their class; repeated rows are one class; only id and text are read.
+component of their class; repeated rows and ids are rows of their own; very long texts
+are hashed whole, their bits counted in slices; an empty table gives an empty result;
+only id and text are read. `nearcopies` drops rows, on 5-word shingles.
 """
 
 from __future__ import annotations
@@ -34,25 +37,28 @@ from .components import components
 
 RADIUS = 2
 BLOCK = 2048
+ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprints(texts: list[str], words: int = 3, seed: int = 42) -> np.ndarray:
+def hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles in order, repeats included; fewer words than a shingle are one shingle."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
     digest = partial(xxhash.xxh64_intdigest, seed=seed)
-    out = np.zeros(len(texts), dtype=np.uint64)
-    for d, t in enumerate(texts):
-        w = t.encode("utf-8", "surrogatepass").lower().split()
-        if not w:
-            continue
-        if len(w) < words:
-            h = np.array([digest(b" ".join(w))], dtype=np.uint64)
-        else:
-            h = np.fromiter(map(digest, map(b" ".join, zip(*(w[k:] for k in range(words))))), dtype=np.uint64, count=len(w) - words + 1)
-        n = len(h)
-        count = np.zeros(64, dtype=np.int64)
-        for k in range(0, n, 65_536):
-            count += np.unpackbits(h[k : k + 65_536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-        out[d] = np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0]
-    return out
+    if len(w) < words:
+        return np.array([digest(b" ".join(w))] if w else [], dtype=np.uint64)
+    return np.fromiter(map(digest, map(b" ".join, zip(*(w[k:] for k in range(words))))), dtype=np.uint64, count=len(w) - words + 1)
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """The fingerprint of hashes: a bit is 1 where over half of them have it; zero without any."""
+    count = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(h), 65_536):
+        count += np.unpackbits(h[k : k + 65_536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(2 * count > len(h), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprints(texts: list[str], words: int = 3, seed: int = 42) -> np.ndarray:
+    return np.array([majority(hashes(t, words, seed)) for t in texts], dtype=np.uint64)
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
@@ -64,41 +70,68 @@ def planes(fp: np.ndarray) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view(np.uint64)
 
 
+class Counters:
+    """Distances of many fingerprints in binary, one bit plane a digit, with a sticky overflow.
+
+    Planes of differing bits are added two at a time by a carry-save adder; its carry
+    ripples into the higher digits.
+    """
+
+    def __init__(self, shape: tuple[int, ...], radius: int):
+        self.radius = radius
+        self.digits = [np.zeros(shape, dtype=np.uint64) for _ in range(max(2, radius.bit_length()))]
+        self.over = np.zeros(shape, dtype=np.uint64)
+
+    def add(self, one: np.ndarray, two: np.ndarray) -> None:
+        low = self.digits[0]
+        half = low ^ one
+        carry = (low & one) | (half & two)
+        self.digits[0] = half ^ two
+        for k in range(1, len(self.digits)):
+            self.digits[k], carry = self.digits[k] ^ carry, self.digits[k] & carry
+        self.over |= carry
+
+    def beyond(self) -> np.ndarray:
+        """Bits of the counters that are past the radius."""
+        more, same = self.over.copy(), ~self.over
+        for k in reversed(range(len(self.digits))):
+            if self.radius >> k & 1:
+                same &= self.digits[k]
+            else:
+                more |= same & self.digits[k]
+                same &= ~self.digits[k]
+        return more
+
+    def keep(self, alive: np.ndarray) -> None:
+        self.digits = [d[alive] for d in self.digits]
+        self.over = self.over[alive]
+
+
 def near(one: np.ndarray, others: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i of one, j of others) whose fingerprints differ in at most radius bits.
+    """Index pairs (i of one, j of others) whose fingerprints differ in at most radius bits (under 64).
 
-    Distances are counted in binary by two-bit counters with a sticky overflow
-    (radius up to 3), for 64 fingerprints a machine word and all of `one` at a time.
+    64 distances a machine word, and all of `one` at a time; a fingerprint of `one` is
+    abandoned as soon as all its counters are past the radius.
     """
-    if radius > 3:
-        raise ValueError("radius up to 3")
     store = planes(others)
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
     found_i, found_j = [], []
-    step = max(1, 1_000_000 // max(1, store.shape[1]))
+    step = max(1, 500_000 // max(1, store.shape[1]))
     for at in range(0, len(one), step):
         q = one[at : at + step]
         rows = np.arange(len(q))
-        low = np.zeros((len(q), store.shape[1]), dtype=np.uint64)
-        high, over = low.copy(), low.copy()
-        for b in range(64):
-            flip = np.where((q >> np.uint64(b)) & np.uint64(1), ones, np.uint64(0))[:, None]
-            d = store[b][None, :] ^ flip
-            carry = low & d
-            low ^= d
-            over |= high & carry
-            high ^= carry
-            if b % 8 == 7:
-                beyond = _beyond(low, high, over, radius)
-                alive = (beyond != ones).any(1)
-                if not alive.all():  # abandoned: every counter is past the radius
+        count = Counters((len(q), store.shape[1]), radius)
+        for b in range(0, 64, 2):
+            flip = [np.where((q >> np.uint64(k)) & np.uint64(1), ONES, np.uint64(0))[:, None] for k in (b, b + 1)]
+            count.add(store[b][None, :] ^ flip[0], store[b + 1][None, :] ^ flip[1])
+            if b % 8 == 6:
+                alive = (count.beyond() != ONES).any(1)
+                if not alive.all():
                     rows, q = rows[alive], q[alive]
-                    low, high, over = low[alive], high[alive], over[alive]
+                    count.keep(alive)
                     if not len(rows):
                         break
         if len(rows):
-            hit = ~_beyond(low, high, over, radius)
-            bits = np.unpackbits(hit.view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")[:, : len(others)]
+            bits = np.unpackbits((~count.beyond()).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")[:, : len(others)]
             i, j = np.nonzero(bits)
             found_i.append(rows[i] + at)
             found_j.append(j)
@@ -107,14 +140,26 @@ def near(one: np.ndarray, others: np.ndarray, radius: int = RADIUS) -> tuple[np.
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _beyond(low, high, over, radius):
-    if radius == 3:
-        return over
-    if radius == 2:
-        return over | (high & low)
-    if radius == 1:
-        return over | high
-    return over | high | low
+def within(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Flags: left[k] and right[k] differ in at most radius bits. 64 pairs a word; words past the radius are abandoned."""
+    n = len(left)
+    if not n:
+        return np.zeros(0, dtype=bool)
+    diff = planes(left) ^ planes(right)
+    words = np.arange(diff.shape[1])
+    count = Counters((len(words),), radius)
+    for b in range(0, 64, 2):
+        count.add(diff[b, words], diff[b + 1, words])
+        if b % 8 == 6:
+            alive = count.beyond() != ONES
+            if not alive.all():
+                words = words[alive]
+                count.keep(alive)
+                if not len(words):
+                    break
+    hit = np.zeros(diff.shape[1], dtype=np.uint64)
+    hit[words] = ~count.beyond()
+    return np.unpackbits(hit.view(np.uint8), bitorder="little")[:n].astype(bool)
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +224,7 @@ def links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
         sizes = np.diff(edges)
         two = edges[:-1][sizes == 2]  # most groups: compared together
         if len(two):
-            d = np.bitwise_count(fp[two] ^ fp[two + 1])
-            ok = d <= radius
+            ok = within(fp[two], fp[two + 1], radius)
             out_a.append(rep[two[ok]])
             out_b.append(rep[two[ok] + 1])
         for s, n in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
@@ -217,9 +261,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tops = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(tops, "root").select(F.col("fp").alias("__fp"), "component_id")
     return prints.join(named, prints["fp"] == named["__fp"]).select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
-    """docs with the smallest id of each component; all columns stay. Ids have to be distinct and not null."""
-    gone = near_groups(docs, id_col, text_col, words, radius).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -5,7 +5,7 @@ import re
 from itertools import combinations
 
 import corpus_pipeline
-from gridlark.llm import jaccard, simhash
+from gridlark.llm import nearcopies, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,8 +55,8 @@ def test_near_groups_are_those_of_all_pairs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = plain(rows)
     assert len(set(want.values())) < len(rows) - 60
-    for few in (2, 16):
-        assert {r[0]: r[1] for r in jaccard.near_groups(docs, few=few).collect()} == want
+    for block in (7, nearcopies.BLOCK):
+        assert {r[0]: r[1] for r in nearcopies.near_groups(docs, block=block).collect()} == want
 
 
 def test_the_stage_drops_a_near_copy_that_radius_2_keeps(spark):
@@ -65,5 +65,13 @@ def test_the_stage_drops_a_near_copy_that_radius_2_keeps(spark):
     one, two = " ".join(words), " ".join(edited)
     a, b = simhash.fingerprints([one, two])
     assert int(a ^ b).bit_count() > 2
-    docs = spark.createDataFrame([(1, one), (2, two), (3, " ".join(words[::-1])), (None, one)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, one), (2, two), (3, " ".join(words[::-1])), (None, one), (None, "alone")], "doc_id long, text string")
     assert sorted(r[0] or 0 for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 1, 3]
+
+
+def test_links_come_from_the_bit_sliced_comparison(spark, monkeypatch):
+    rows = texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    narrow = {r[0]: r[1] for r in nearcopies.near_groups(docs, radius=0).collect()}
+    want = plain(rows)
+    assert sum(k != v for k, v in narrow.items()) < sum(k != v for k, v in want.items()) - 30

@@ -2,11 +2,12 @@
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import sentencepiece
 
 import corpus_pipeline
-from gridlark.llm import simhash, toxicity
+from gridlark.llm import toxicity
 from gridlark.llm.queries import model_path
 from gridlark.runtime import table
 
@@ -34,16 +35,15 @@ def test_stages(spark, tmp_path):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or ""), r["doc_id"])
     assert ids(outs[1]) == sorted(first.values())
 
-    prints = {r["doc_id"]: int(simhash.fingerprints([r["text"] or ""])[0]) for r in ins[2]}
-    least = {d: d for d in prints}
-    for _ in prints:
-        before = dict(least)
-        for a, x in prints.items():
-            for b, y in prints.items():
-                if (x ^ y).bit_count() <= 2:
-                    least[a] = min(least[a], least[b])
-        if before == least:
-            break
+    sets = {}
+    for r in ins[2]:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    near = [(i, j) for (i, a), (j, b) in combinations(sets.items(), 2) if not (a or b) or 5 * len(a & b) >= 4 * len(a | b)]
+    least = {d: d for d in sets}
+    for _ in sets:
+        for i, j in near:
+            least[i] = least[j] = min(least[i], least[j])
     assert ids(outs[2]) == sorted(d for d, c in least.items() if c == d)
 
     words = lambda rows: sum((Counter({r["doc_id"]: len(WORD.findall(r["text"] or ""))}) for r in rows), Counter())
