@@ -1,23 +1,30 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context-window scores.
 
-The lexicon (whole words and word beginnings) is learned from labelled training
-rows. Its trie, intersected with the Levenshtein automaton of distance one, is
-determinised into one transition table; distinct words of a slice of texts run
-through that table together, a character at a time. Each hit is then weighed by its
-window of words: between quotation marks or behind a verb of reporting it counts as
-quotation, else as abuse. A logistic model over these counts gives the score.
+The lexicon (whole words, and stems of STEM characters that words begin with) is learned
+from labelled training rows. Its trie, intersected with the Levenshtein automaton of
+distance one, is determinised into one transition table; distinct words of a slice of
+texts run through that table together, a character at a time. A word at distance one of a
+term counts as misspelled where the term is long enough and the word is none that clean
+training texts hold. Each hit is then weighed by its window of words: between
+quotation marks or behind a verb of reporting it counts as quotation, else as abuse. A
+logistic model over these counts gives the score; abuse can only raise it, and a
+quotation alone cannot. Its weights are fitted on training rows and on copies of them
+with misspelled terms (toxic) and with quoted terms (clean), so both are observed.
 
 Only text is an input of the score. Labels of held-out rows (crc32 of the id as text
 leaves 2 modulo 4) are never read for fitting.
 
 Defined cases: null and empty texts have no hits and get the model's base score;
-without usable labels a fixed prior model with an empty lexicon is used; repeated
-rows are judged alone; only id and text are read.
+without usable labels a fixed prior model with an empty lexicon is used; very long texts
+and words are read whole; repeated rows and ids are judged alone; a label given twice for
+an id counts as the larger; of terms that match a word equally well the first in the
+lexicon counts; an empty table gives an empty result; only id and text are read.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +37,7 @@ from pyspark.sql import functions as F
 
 from gridlark.runtime import ship
 
-from .common import annotate, give_back, per_text, slices
+from .common import annotate, give_back, labelled_sample, per_text, slices
 
 WORD = re.compile(r"\w+")
 WINDOW = 6
@@ -39,6 +46,11 @@ QUOTES = "\"“”„«»‘’"
 REPORTS = frozenset("said says say called calls quote quoted quotes wrote word words term insult sagte sagt zitat wort nannte dit mot appelé citation dijo palabra llamó cita".split())
 
 NONE, EXACT, FUZZY = 0, 1, 2
+#: Characters of stems in the lexicon; least characters of terms whose misspellings count.
+STEM = (3, 12)
+FUZZY_WORD, FUZZY_STEM = 4, 8
+#: Log-odds from which single hits of a term count. Terms that clean texts hold too count by their share of a text's words.
+STRONG = 4.0
 
 
 class Automaton:
@@ -78,7 +90,7 @@ class Automaton:
         # A state: (trie states, best hit so far as (kind, term)); kinds order exact before fuzzy.
         def begin(states, hit):
             for node, e in states:
-                if start[node] >= 0 and len(terms[start[node]][0]) - e >= 3:
+                if start[node] >= 0 and len(terms[start[node]][0]) - e >= STEM[0]:
                     kind = EXACT if e == 0 else FUZZY
                     if hit[0] == NONE or kind < hit[0] or (kind == hit[0] and start[node] < hit[1]):
                         hit = (kind, start[node])
@@ -154,77 +166,98 @@ def quoted(text: str, spans: list[tuple[int, int]], i: int) -> bool:
 
 
 class Reader:
-    """Hit counts of texts: features for the logistic model."""
+    """Hits of texts: features for the logistic model, and plain counts of the last call.
 
-    def __init__(self, lexicon: list[tuple[str, bool, float]]):
+    common: words that are near a term but usual in clean texts, so no misspellings.
+    """
+
+    def __init__(self, lexicon: list[tuple[str, bool, float]], common: list[str] | frozenset[str] = frozenset()):
         self.auto = Automaton([(t, b) for t, b, _ in lexicon])
         self.weight = [w for _, _, w in lexicon]
+        self.may_miss = [len(t) >= (FUZZY_STEM if b else FUZZY_WORD) for t, b, _ in lexicon]
+        self.common = frozenset(common)
         self.hits: dict[str, tuple[int, int]] = {}
         self.seen: set[str] = set()
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        lists = [WORD.findall(t.lower()) for t in texts]
-        new = set(chain.from_iterable(lists)).difference(self.seen)
+    def look_up(self, words: set[str]) -> dict[str, tuple[int, int]]:
+        """Words that the automaton accepts, as (kind, term)."""
+        new = words.difference(self.seen)
         if len(self.seen) + len(new) > 150_000:
             self.seen, self.hits = set(), {}
-            new = set(chain.from_iterable(lists))
-        self.hits.update(self.auto.match(list(new)))
+            new = words
+        found = self.auto.match(list(new))
+        self.hits.update({w: h for w, h in found.items() if h[0] == EXACT or (self.may_miss[h[1]] and len(w) >= FUZZY_WORD and w not in self.common)})
         self.seen |= new
-        hits = self.hits
-        out = np.zeros((len(texts), 6))
+        return self.hits
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        lists = [list(map(str.lower, WORD.findall(t))) for t in texts]
+        hits = self.look_up(set(chain.from_iterable(lists)))
+        out = np.zeros((len(texts), 7))
+        self.counts = np.zeros((len(texts), 4), dtype=np.int64)
         for d, words in enumerate(lists):
             at = [i for i, w in enumerate(words) if w in hits]
             if not at:
                 continue
             spans = [m.span() for m in WORD.finditer(texts[d])]
-            same = len(spans) == len(words)  # lower-casing can change the length of some letters
-            row = [0.0] * 4
-            top = 0.0
+            row, n = [0] * 4, [0] * 4
+            top, weak = 0.0, 0
             for i in at:
                 kind, term = hits[words[i]]
-                q = same and quoted(texts[d], spans, i)
+                q = quoted(texts[d], spans, i)
+                n[2 * (kind == FUZZY) + q] += 1
+                if self.weight[term] < STRONG:
+                    weak += not q
+                    continue
                 row[2 * (kind == FUZZY) + q] += 1
-                if kind == EXACT and not q:
-                    top = max(top, self.weight[term])
+                if not q:
+                    top = max(top, self.weight[term] * (1.0 if kind == EXACT else 0.9))
             out[d, :4] = np.log1p(row)
             out[d, 4] = top
-            out[d, 5] = min(1.0, 10.0 * row[0] / len(words))
+            out[d, 5] = min(1.0, 10.0 * (row[0] + row[2]) / len(words))
+            out[d, 6] = min(3.0, 100.0 * weak / len(words))
+            self.counts[d] = n
         return out
 
 
 #: Model without labels: no lexicon, low base score.
-PRIOR = {"lexicon": [], "weights": [-3.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]}
+PRIOR = {"lexicon": [], "common": [], "weights": [-3.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]}
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray, most: int = 200, support: int = 3, purity: float = 0.9, depth: int = 4) -> list[tuple[str, bool, float]]:
-    """Greedy cover of toxic texts, each by up to `depth` terms: whole words and word beginnings that clean texts hardly have.
+def learn_lexicon(texts: list[str], toxic: np.ndarray, purity: float = 0.9, depth: int = 4) -> list[tuple[str, bool, float]]:
+    """Greedy cover of toxic texts, each by up to `depth` terms: whole words and stems that clean texts hardly have.
 
-    Terms that begin with a chosen one, or the other way round, are passed over.
+    A term's excess in toxic texts has to be beyond chance among all terms seen (log-likelihood
+    ratio). Terms that begin with a chosen one, or the other way round, are passed over.
     purity: least share of toxic texts, at equal class sizes, among those that hold the term.
     """
     have: list[set[tuple[str, bool]]] = []
     pos: Counter = Counter()
     neg: Counter = Counter()
+    low, high = STEM
     for t, y in zip(texts, toxic, strict=True):
-        words = set(WORD.findall(t.lower()))
-        terms = {(w, False) for w in words if 3 <= len(w) <= 24}
-        terms |= {(w[:k], True) for w in words for k in range(3, min(len(w), 10))}
+        words = set(map(str.lower, WORD.findall(t)))
+        terms = {(w, False) for w in words if len(w) >= low}
+        terms |= {(w[:k], True) for w in words for k in range(low, min(len(w), high + 1))}
         (pos if y else neg).update(terms)
         have.append(terms if y else set())
     n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    share = n_pos / (n_pos + n_neg)
+    chance = 2 * math.log(max(2, len(pos) + len(neg.keys() - pos.keys()))) + 3
     score = {}
     for term, a in pos.items():
-        if a >= max(support, 0.015 * n_pos):
-            ra, rb = a / n_pos, (neg[term] + 0.5) / n_neg
-            if ra / (ra + rb) >= purity and a / n_pos >= 4 * neg[term] / n_neg:
-                score[term] = math.log(ra / rb)
+        b = neg[term]
+        ra, rb = a / n_pos, (b + 0.5) / n_neg
+        ratio = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0.0))
+        if a >= 3 and ra > rb and ratio >= chance and ra / (ra + rb) >= purity:
+            score[term] = math.log(ra / rb)
     left = {i: s & score.keys() for i, s in enumerate(have) if s}
     owed = dict.fromkeys(left, depth)
     gain = Counter(t for s in left.values() for t in s)
     out = []
-    while gain and len(out) < most:
+    while gain:
         # Most texts newly covered; among equals the purer, then the longer and more general term.
-        best = max(gain, key=lambda t: (gain[t] * min(score[t], 4.0), score[t], len(t[0]), t[1], t[0]))
+        best = max(gain, key=lambda t: (gain[t] * min(score[t], 6.0), score[t], len(t[0]), t[1], t[0]))
         if gain[best] < 2:
             break
         out.append((best[0], best[1], round(score[best], 6)))
@@ -240,6 +273,35 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, most: int = 200, support:
     return out
 
 
+def misspelled(word: str, rng: random.Random) -> str:
+    """The word with one edit behind its first letter."""
+    k = rng.randrange(1, len(word))
+    other = rng.choice("abcdefghijklmnopqrstuvwxyz0123")
+    return rng.choice((word[:k] + word[k + 1 :], word[:k] + word[k] + word[k:], word[:k] + other + word[k + 1 :]))
+
+
+def altered(texts: list[str], toxic: np.ndarray, reader: Reader, seed: int = 1) -> tuple[list[str], list[int]]:
+    """Copies that show what labels seldom do: toxic texts with their terms misspelled, clean texts that quote a term."""
+    rng = random.Random(seed)
+    words = [t for t, b in reader.auto.terms if not b and len(t) >= FUZZY_WORD]
+    out, marks = [], []
+    for t, y in zip(texts, toxic, strict=True):
+        if y:
+            hits = reader.look_up(set(map(str.lower, WORD.findall(t))))
+            changed = WORD.sub(lambda m: misspelled(m[0], rng) if m[0].lower() in hits and len(m[0]) >= FUZZY_WORD else m[0], t)  # noqa: B023
+            if changed != t:
+                out.append(changed)
+                marks.append(1)
+        elif words and rng.random() < 0.2:
+            w = rng.choice(words)
+            a, b = rng.choice((('"', '"'), ("«", "»"), ("“", "”")))
+            parts = t.split(" ")
+            k = rng.randrange(len(parts) + 1)
+            out.append(" ".join([*parts[:k], f"{a}{w}{b}" if rng.random() < 0.7 else f"the word {w}", *parts[k:]]))
+            marks.append(0)
+    return out, marks
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 400) -> dict:
     """Lexicon and logistic weights from labelled texts."""
     y = np.array(labels, float)
@@ -248,29 +310,38 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400) -> dict:
     # The lexicon comes from one part, the weights from the rest, so that chance hits don't look certain.
     part = np.arange(len(y)) % 3 != 2 if min(y.sum(), (1 - y).sum()) >= 60 else np.ones(len(y), bool)
     lexicon = learn_lexicon([t for t, p in zip(texts, part, strict=True) if p], y[part])
+    probe = Reader(lexicon)
+    usual = probe.look_up({w for t, k in zip(texts, y, strict=True) if not k for w in map(str.lower, WORD.findall(t))})
+    common = sorted(w for w, h in usual.items() if h[0] == FUZZY)
+    reader = Reader(lexicon, common)
     rest = ~part if not part.all() else part
-    x = Reader(lexicon).features([t for t, p in zip(texts, rest, strict=True) if p])
+    some, ys = [t for t, p in zip(texts, rest, strict=True) if p], y[rest]
+    copies, marks = altered(some, ys, reader)
+    x = reader.features(some + copies)
+    ys = np.concatenate([ys, np.array(marks, float)])
     x = np.hstack([np.ones((len(x), 1)), x])
-    ys = y[rest]
     share = min(max(ys.mean(), 1e-3), 1 - 1e-3)
     cost = np.where(ys > 0, 0.15 / share, 0.85 / (1 - share))  # classes as at 15% of toxic texts
-    w = np.array([-3.0, 1.0, 0.2, 0.2, 0.0, 0.5, 0.5])
+    w = np.array([-3.0, 1.0, -0.2, 0.6, -0.2, 0.5, 0.5, 1.5])
     prior = w.copy()
+    least = np.array([-np.inf, 0.0, -np.inf, 0.2, -np.inf, 0.0, 0.0, 0.0])
+    most = np.array([np.inf, np.inf, 0.0, np.inf, 0.0, np.inf, np.inf, np.inf])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-x @ w))
         hess = (x * (cost * p * (1 - p))[:, None]).T @ x / len(x) + 0.003 * np.eye(len(w))
-        w = w + 0.5 * np.linalg.solve(hess, x.T @ (cost * (ys - p)) / len(x) - 0.003 * (w - prior))
-    return {"lexicon": lexicon, "weights": np.round(w, 6).tolist()}
+        w = np.clip(w + 0.5 * np.linalg.solve(hess, x.T @ (cost * (ys - p)) / len(x) - 0.003 * (w - prior)), least, most)
+    return {"lexicon": lexicon, "common": common, "weights": np.round(w, 6).tolist()}
 
 
 def scorer(model: dict, threshold: float = 0.3):
-    reader = Reader([tuple(t) for t in model["lexicon"]])
+    reader = Reader([tuple(t) for t in model["lexicon"]], model["common"])
     w = np.array(model["weights"])
 
     def run(texts: list[str]) -> dict:
         x = reader.features(texts)
         s = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
-        return {"score": s, "predicted": (s >= threshold).astype(np.int32), "n_abuse": np.rint(np.expm1(x[:, 0])).astype(np.int64), "n_quoted": np.rint(np.expm1(x[:, 1])).astype(np.int64), "n_misspelled": np.rint(np.expm1(x[:, 2])).astype(np.int64)}
+        n = reader.counts
+        return {"score": s, "predicted": (s >= threshold).astype(np.int32), "n_abuse": n[:, 0], "n_quoted": n[:, 1], "n_misspelled": n[:, 2]}
 
     return run
 
@@ -283,13 +354,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500) -> dict:
-    """Fit on at most `sample` rows of each label, none of them held out, picked by a hash of their id."""
-    rows = labels.where(~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropna().groupBy("__id").agg(F.max("__y").alias("__y"))
-    one = lambda y: rows.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    picked = one(0).unionByName(one(1))  # at most 2 * sample rows: safe to broadcast
-    got = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(picked), "__id").select("__t", "__y", "__id").collect()
-    got = sorted(got, key=lambda r: (r[2], r[0] or ""))[: 4 * sample]
-    return fit([r[0] or "" for r in got], [r[1] for r in got])
+    """Fit on at most `sample` rows of each label, none of them held out, those of least hash of their id and text."""
+    return fit(*labelled_sample(docs, labels.where(~held_out(id_col)), label_col, sample, id_col, text_col))
 
 
 def score_toxicity(docs: DataFrame, model: dict, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
