@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from gridlark.llm import exact, licenses, mixing, piece, pii, quality, simhash, tokencount, toxicity
+from gridlark.llm import exact, licenses, mixing, nearcopies, piece, pii, quality, simhash, tokencount, toxicity
 from gridlark.llm.queries import model_path
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,7 +53,8 @@ def test_every_operator_takes_an_empty_table(spark):
         mixing.mixed_documents(empty),
         piece.encode_digests(empty, model_path()),
         simhash.near_groups(empty),
-        simhash.dedup(empty),
+        nearcopies.near_groups(empty),
+        nearcopies.dedup(empty),
         pii.find_pii(empty, pii.train(empty)),
         licenses.scan_licenses(empty),
     ):
@@ -90,9 +91,21 @@ def test_exact_groups(docs):
             want.append((i, keep, len(ids), i == keep and (t, i) not in once, hashlib.sha256(t.encode()).hexdigest()))
             once.add((t, i))
     assert got(exact.groups(docs)) == sorted(want, key=repr)
-    kept = exact.dedup(docs)
-    assert kept.columns == docs.columns
-    assert Counter(re.sub(SPACE, " ", r[1] or "") for r in kept.collect()) == Counter(norm.keys())
+    assert got(exact.groups(docs, hot=2)) == sorted(want, key=repr)  # salted groups, whose runs are merged
+    for hot in (exact.HOT, 1):
+        kept = exact.dedup(docs, hot=hot)
+        assert kept.columns == docs.columns
+        assert Counter(re.sub(SPACE, " ", r[1] or "") for r in kept.collect()) == Counter(norm.keys())
+
+
+def test_exact_groups_come_from_the_sort(spark, docs, monkeypatch):
+    """Without comparison of neighbours no row finds its copies."""
+    from pyspark.sql import functions as F
+
+    whole = exact.groups(docs).where("group_size > 1").count()
+    lag = F.lag
+    monkeypatch.setattr(exact.F, "lag", lambda c: lag(F.concat(F.col(c).cast("string"), F.lit("another"))))
+    assert whole > 5 and exact.groups(docs).where("group_size > 1").count() == 0
 
 
 def test_simhash(docs):
@@ -122,7 +135,8 @@ def test_bit_sliced_comparison_and_components(spark):
     fps = np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) for c in centre] + [centre, rng.integers(0, 2**63, 500, dtype=np.uint64)])
     fps = np.unique(fps)
     d = np.bitwise_count(fps[:, None] ^ fps[None, :])
-    for radius in (0, 1, 2, 3):
+    for radius in (0, 1, 2, 3, 7, 24, 40):
+        assert simhash.within(fps[:-1], fps[1:], radius).tolist() == (np.diagonal(d, 1) <= radius).tolist()
         i, j = simhash.near(fps, fps, radius)
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(d <= radius)), strict=True))
     node, root = simhash.forest(len(fps), *np.nonzero(d <= 2))
@@ -159,8 +173,8 @@ def test_viterbi_equals_enumeration():
 
     rng = np.random.default_rng(1)
     for _ in range(50):
-        emit, change = rng.normal(size=7), -float(rng.random())
-        score = lambda y: sum(e for e, k in zip(emit, y, strict=True) if k) + change * sum(a != b for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
+        emit, change = rng.normal(size=7), (-float(rng.random()), -float(rng.random()))
+        score = lambda y: sum(e for e, k in zip(emit, y, strict=True) if k) + sum(change[0] * (b > a) + change[1] * (b < a) for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
         assert tuple(quality.viterbi(emit, change).tolist()) == max(itertools.product((0, 1), repeat=7), key=score)
 
 
@@ -220,6 +234,62 @@ def test_mix_blocks_and_documents_hold_what_is_taken(docs):
     assert len({(r.source, r.slot) for r in mixed}) == len(mixed)
 
 
+def test_every_shard_draws_its_counts_and_targets_are_met(spark):
+    """Shards are full, their counts vary as draws do, and each source has its slots once."""
+    planned = mixing.plan(spark.createDataFrame([("a", 60_000), ("b", 200_000), (None, 90_000)], "source string, source_size long"))
+    want = {r.source: (r.n_slots, r.n_blocks) for r in planned.collect()}
+    rows = mixing.slots(planned, shard=100).collect()
+    assert Counter(r.source for r in rows) == {s: n for s, (n, _) in want.items()}
+    for s, (n, n_blocks) in want.items():
+        mine = [r for r in rows if r.source == s]
+        assert sorted(r.slot for r in mine) == list(range(n))
+        assert len({(r.turn, r.block) for r in mine}) == n and all(r.turn == r.slot // n_blocks and 0 <= r.block < n_blocks for r in mine)
+    shards = Counter(r.shard for r in rows)
+    assert set(list(shards.values())) <= {100, sum(n for n, _ in want.values()) % 100}
+    drawn = defaultdict(Counter)
+    for r in mixing.shard_counts(planned, shard=100).collect():
+        drawn[r.shard][r.sid] = r["count"]
+    p = want["b"][0] / len(rows)
+    counts = [c[1] for k, c in drawn.items() if k < len(rows) // 100]
+    mean = sum(counts) / len(counts)
+    var = sum((x - mean) ** 2 for x in counts) / len(counts)
+    assert abs(mean - 100 * p) < 3 and 0.5 < var / (100 * p * (1 - p)) < 2
+    by_shard = defaultdict(Counter)
+    for r in rows:
+        by_shard[r.shard][("a", "b", None).index(r.source)] += 1
+    moved = sum(abs(by_shard[k][s] - c[s]) for k, c in drawn.items() for s in range(3))
+    assert moved < 0.1 * len(rows)  # reconciling moves few slots: the draw shows in the mix
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """Near dedup loses no text and mixing multiplies none where ids repeat."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(90)) for x in "abc")
+    rows = [(1, b, "s"), (5, a, "s"), (5, b, "s"), (None, c, "s"), (None, a + " end", "s"), (None, None, "s"), (7, c, "t"), (7, c, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted(((r[0], r[1] or "") for r in nearcopies.dedup(docs).collect()), key=repr)
+    assert kept == sorted([(1, b), (5, a), (7, c), (None, "")], key=repr)
+    words = Counter()
+    for r in mixing.mixed_documents(docs, block=8).collect():
+        words[(r[0], r[2])] += len(r[1].split())
+    took = Counter()
+    for r in mixing.takes(docs, block=8).collect():
+        took[r.doc_id] += r.taken
+    by_id = Counter()
+    for (i, _), n in words.items():
+        by_id[i] += n
+    assert by_id == Counter({k: v for k, v in took.items() if v})
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    long = " ".join(rng.choice("lorem ipsum dolor sit amet consectetur".split()) + str(rng.randint(0, 9)) for _ in range(600_000))
+    assert len(long) > 4_000_000
+    docs = spark.createDataFrame([(1, long, "s"), (2, long + " more", "s"), (3, "  ".join(long.split(" ")), "s"), (4, "short text", "s")], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in nearcopies.dedup(docs).collect()) == [1, 4]
+    assert sorted(r.doc_id for r in exact.dedup(docs).collect()) == [1, 2, 4]
+    assert sum(r.taken for r in mixing.takes(docs).collect()) == sum(len(r.text.split()) for r in mixing.mixed_documents(docs).collect())
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 
@@ -346,7 +416,7 @@ def test_toxicity_automaton():
 
 
 def test_quotation_is_told_from_abuse():
-    reader = toxicity.Reader([("idiot", False, 3.0)])
+    reader = toxicity.Reader([("idiot", False, 5.0)])
     x = reader.features(["you idiot you", 'they said "idiot" to me', "he called me an idiot", "nothing here"])
     assert x[0, 0] > 0 and x[0, 1] == 0 and x[1, 1] > 0 and x[1, 0] == 0 and x[2, 1] > 0 and not x[3].any()
 
