@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm import exact, jaccard, mixing, piece, toxicity
+from gridlark.llm import exact, mixing, nearcopies, piece, toxicity
 from gridlark.llm.queries import model_path
 from gridlark.runtime import shared_folder, table
 
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: Jaccard similarity of 5-word shingles of 0.8 or more."""
-    return jaccard.dedup(docs)
+    """One document of each group of near copies: SimHash comparison of 5-word shingles, verified to a Jaccard similarity of 0.8."""
+    return nearcopies.dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
