@@ -3,8 +3,8 @@
 The dealt bit-sliced comparison of `simhash`, with a radius wide enough for this
 similarity, between documents that can have it at all:
 
-1. A document is the set of XXH64 hashes (seed 42) of its word shingles; equal sets are one
-   class, named by a digest, with the SimHash fingerprint of the set.
+1. A document is the set of hashes of its word shingles (mixed from XXH64 hashes of the words);
+   equal sets are one class, named by a digest, with the SimHash fingerprint of the set.
 2. Candidates come from a prefix filter that misses no pair: of n shingles in any common
    order, the first n - ceil(0.8 n) + 1 of both texts have one in common. The order is by
    hash, with shingles that are frequent in a bounded sample last; the sample decides speed
@@ -30,6 +30,8 @@ long texts are read whole; an empty table gives an empty result; only id and tex
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -40,18 +42,35 @@ from gridlark.runtime import materialize, parallelism, ship
 
 from .common import digest_of, only_rows, per_text, slices, slight, text
 from .components import components
-from .simhash import hashes, majority, near, within
+from .simhash import majority, near, within
 
 WORDS = 5
 #: Similarity as a fraction of whole numbers.
 NUM, DEN = 4, 5
 RADIUS = 24
 BLOCK = 2048
+#: Meetings up to this size are compared together, pair by pair; larger ones each by itself.
+TOGETHER = 64
+_digest = partial(xxhash.xxh64_intdigest, seed=42)
 
 
 def shingles(t: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles."""
-    return np.unique(hashes(t, words))
+    """Sorted distinct hashes of the word shingles, each mixed from its words' hashes in order; fewer words are one shingle."""
+    w = t.encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    one = np.fromiter(map(_digest, w), dtype=np.uint64, count=len(w))
+    n = max(1, len(w) - words + 1)
+    h = np.full(n, min(len(w), words), dtype=np.uint64)
+    for k in range(min(len(w), words)):
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += one[k : k + n]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def node_of(h: np.ndarray) -> int:
@@ -84,7 +103,7 @@ def frequent(docs: DataFrame, text_col: str, id_col: str, words: int, sample: in
     top = [r[0] for r in docs.select(rank.alias("__h")).orderBy("__h").limit(sample).collect()]
     if not top:
         return np.zeros(0, dtype=np.uint64)
-    some = docs.where(rank <= top[-1]).limit(2 * sample).select(F.explode(udf(text(text_col))["keys"]).alias("key"))
+    some = docs.where(rank <= top[-1]).select(F.explode(udf(text(text_col))["keys"]).alias("key"))
     rows = some.groupBy("key").count().where(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(most).select("key").collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
@@ -153,8 +172,23 @@ def cross_pairs(radius: int):
         node, n, root = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["root"].to_numpy()
         fp, own = pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
         lo, hi = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
-        a, b = [], []
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+
+        def listed(i, j):
+            return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
+
+        size = np.diff(edges)
+        little = (size <= TOGETHER) & (lo[edges[:-1]] == hi[edges[:-1]])
+        end = np.where(np.repeat(little, size), np.repeat(edges[1:], size), 0)
+        at = np.arange(len(pdf))
+        for d in range(1, int(size[little].max(initial=0))):
+            i = at[at + d < end]
+            for s in range(0, len(i), 500_000):
+                p = i[s : s + 500_000]
+                p = p[(root[p] != root[p + d]) & alike_in_size(n[p], n[p + d])]
+                p = p[within(fp[p], fp[p + d], radius)]
+                if len(p):
+                    yield listed(p, p + d)
+        for s, e in zip(edges[:-1][~little].tolist(), edges[1:][~little].tolist(), strict=True):
             if (root[s:e] == root[s]).all():
                 continue
             if lo[s] == hi[s]:
@@ -166,10 +200,8 @@ def cross_pairs(radius: int):
             ok = (root[i] != root[j]) & alike_in_size(n[i], n[j])
             if lo[s] == hi[s]:
                 ok &= i < j
-            a.append(np.minimum(node[i[ok]], node[j[ok]]))
-            b.append(np.maximum(node[i[ok]], node[j[ok]]))
-        if a:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+            if ok.any():
+                yield listed(i[ok], j[ok])
 
     return work
 
