@@ -3,7 +3,7 @@
 The dealt bit-sliced comparison of `simhash`, with a radius wide enough for this
 similarity, between documents that can have it at all:
 
-1. A document is the set of hashes of its word shingles (mixed from XXH64 hashes of the words);
+1. A document is the set of 64-bit hashes of its word shingles, mixed from those of the words;
    equal sets are one class, named by a digest, with the SimHash fingerprint of the set.
 2. Candidates come from a prefix filter that misses no pair: of n shingles in any common
    order, the first n - ceil(0.8 n) + 1 of both texts have one in common. The order is by
@@ -30,8 +30,6 @@ long texts are read whole; an empty table gives an empty result; only id and tex
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -51,20 +49,48 @@ RADIUS = 24
 BLOCK = 2048
 #: Meetings up to this size are compared together, pair by pair; larger ones each by itself.
 TOGETHER = 64
-_digest = partial(xxhash.xxh64_intdigest, seed=42)
+
+#: An odd multiplier, its inverse modulo 2^64, and a number for every byte.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+_BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), 42) for b in range(256)], dtype=np.uint64)
+_GAP = np.isin(np.arange(256), [32, *range(9, 14)])
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of base modulo 2^64, kept for texts of usual length."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        step = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        step[0] = 1
+        have = np.multiply.accumulate(step)
+        if n <= 1 << 20:
+            _powers[base] = have
+    return have[:n]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word: the difference of a running polynomial over all bytes at its ends, brought to one exponent."""
+    b = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], ~_GAP[b], [False]])
+    ends = np.nonzero(inside[1:] != inside[:-1])[0]
+    start, end = ends[::2], ends[1::2]
+    running = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[b] * _power(_BASE, len(b)), out=running[1:])
+    return (running[end] - running[start]) * _power(_BACK, len(b) + 1)[start] ^ (end - start).astype(np.uint64)
 
 
 def shingles(t: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the word shingles, each mixed from its words' hashes in order; fewer words are one shingle."""
-    w = t.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
+    one = word_hashes(t.encode("utf-8", "surrogatepass").lower())
+    if not len(one):
         return np.zeros(0, dtype=np.uint64)
-    one = np.fromiter(map(_digest, w), dtype=np.uint64, count=len(w))
-    n = max(1, len(w) - words + 1)
-    h = np.full(n, min(len(w), words), dtype=np.uint64)
-    for k in range(min(len(w), words)):
+    n = max(1, len(one) - words + 1)
+    h = np.full(n, min(len(one), words), dtype=np.uint64)
+    for k in range(min(len(one), words)):
         h ^= h >> np.uint64(29)
-        h *= np.uint64(0x9E3779B97F4A7C15)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
         h += one[k : k + n]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
