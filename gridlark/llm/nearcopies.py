@@ -14,7 +14,8 @@ similarity, between documents that can have it at all:
    lies four to five standard deviations above, and leaves out 97% of unlike pairs. This
    is the only step that could lose a link, with a chance of about 1e-6 at the very limit
    of the similarity (1e-4 for sets of under ten shingles), less above it.
-4. Pairs that pass are verified on their whole sets. First every class is compared with the
+4. Pairs that pass are verified on their whole sets, unless counts of their hashes in BINS bins
+   already differ by more than such sets can. First every class is compared with the
    head and its neighbour of each meeting and verified with its nearest of these, so large
    groups of near copies fall together in linear time. Then all pairs of different
    components so found are compared, in blocks. Links inside a component are not needed.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from gridlark.runtime import materialize, parallelism, ship
 
-from .common import digest_of, only_rows, per_text, slices, slight, text
+from .common import digest_of, give_back, only_rows, per_text, slight, text
 from .components import components
 from .simhash import majority, near, within
 
@@ -47,6 +48,7 @@ WORDS = 5
 NUM, DEN = 4, 5
 RADIUS = 24
 BLOCK = 2048
+BINS = 256
 #: Meetings up to this size are compared together, pair by pair; larger ones each by itself.
 TOGETHER = 64
 
@@ -105,8 +107,8 @@ def node_of(h: np.ndarray) -> int:
 
 
 def prefixes(texts: list[str], hot: np.ndarray, words: int) -> dict:
-    """Digest, size, fingerprint and prefix of each text's set."""
-    out: dict[str, list] = {"node": [], "n": [], "fp": [], "keys": []}
+    """Digest, size, fingerprint, prefix and counts in bins of each text's set."""
+    out: dict[str, list] = {"node": [], "n": [], "fp": [], "keys": [], "bins": []}
     for t in texts:
         h = shingles(t, words)
         n = len(h)
@@ -119,6 +121,7 @@ def prefixes(texts: list[str], hot: np.ndarray, words: int) -> dict:
         out["n"].append(n)
         out["fp"].append(majority(h).view(np.int64))
         out["keys"].append(order[:take].view(np.int64))
+        out["bins"].append(np.minimum(np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
     return out
 
 
@@ -161,6 +164,7 @@ def by_group(names: list[str], work):
             last = k[-1]
         if held:
             yield from _whole(held, work, names)
+        give_back()
 
     return run
 
@@ -232,9 +236,22 @@ def cross_pairs(radius: int):
     return work
 
 
+@F.pandas_udf("boolean")
+def may_link(m: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """False only where the similarity is surely less: sets differ in a ninth of their sizes at most, and bins bound how much they do."""
+    out = []
+    for s in range(0, len(a), 2000):
+        x, y = (np.frombuffer(b"".join(c.iloc[s : s + 2000]), np.uint8).reshape(-1, BINS).astype(np.int16) for c in (a, b))
+        out.append(np.abs(x - y).sum(1, dtype=np.int64))
+    apart = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+    return pd.Series(apart * (NUM + DEN) <= (m.to_numpy(np.int64) + n.to_numpy(np.int64)) * (DEN - NUM))
+
+
 def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets have the similarity. Only texts of candidates are read again."""
-    pairs = materialize(pairs.select("a", "b"))
+    slim = prints.select("node", "n", "bins").dropDuplicates(["node"])
+    left, right = (slim.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"bins{c}")) for c in ("a", "b"))
+    pairs = materialize(pairs.select("a", "b").join(left, "a").join(right, "b").where(may_link("na", "nb", "binsa", "binsb")).select("a", "b"))
     nodes = slight(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     one = prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__hash")).alias("__one"))
     one = slight(one.select("node", F.col("__one.__id").alias("__one"), F.col("__one.__hash").alias("__with")))
@@ -246,12 +263,12 @@ def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, id_col: str,
     @F.pandas_udf("boolean")
     def similar(s: pd.Series, t: pd.Series) -> pd.Series:
         out: list[bool] = []
-        left = iter(s)
-        for part in slices(t):
-            for right in part:
-                x, y = shingles(next(left), words), shingles(right, words)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(shared * (NUM + DEN) >= (len(x) + len(y)) * NUM)
+        for x, y in zip(s, t, strict=True):
+            x, y = shingles(x, words), shingles(y, words)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(shared * (NUM + DEN) >= (len(x) + len(y)) * NUM)
+        del s, t
+        give_back()
         return pd.Series(out, dtype=bool)
 
     return materialize(both.where(similar("s", "t")).select("a", "b"))
@@ -262,7 +279,7 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
     spark = docs.sparkSession
     ship(spark)
     hot = frequent(docs, text_col, id_col, words)
-    udf = per_text(lambda: lambda texts: prefixes(texts, hot, words), "node long, n int, fp long, keys array<long>")
+    udf = per_text(lambda: lambda texts: prefixes(texts, hot, words), "node long, n int, fp long, keys array<long>, bins binary")
     prints = materialize(docs.select(F.col(id_col).alias("__id"), digest_of(text(text_col)).alias("__hash"), udf(text(text_col)).alias("__r")).select("__id", "__hash", "__r.*"))
     classes = prints.select("node", "n", "fp", "keys").dropDuplicates(["node"])
     spread = materialize(classes.select("node", "n", "fp", F.explode("keys").alias("key")))
