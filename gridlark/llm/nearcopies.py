@@ -236,7 +236,6 @@ def cross_pairs(radius: int):
     return work
 
 
-@F.pandas_udf("boolean")
 def may_link(m: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """False only where the similarity is surely less: sets differ in a ninth of their sizes at most, and bins bound how much they do."""
     out = []
@@ -251,7 +250,7 @@ def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, id_col: str,
     """The pairs (a, b) of classes whose whole sets have the similarity. Only texts of candidates are read again."""
     slim = prints.select("node", "n", "bins").dropDuplicates(["node"])
     left, right = (slim.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"bins{c}")) for c in ("a", "b"))
-    pairs = materialize(pairs.select("a", "b").join(left, "a").join(right, "b").where(may_link("na", "nb", "binsa", "binsb")).select("a", "b"))
+    pairs = materialize(pairs.select("a", "b").join(left, "a").join(right, "b").where(F.pandas_udf(may_link, "boolean")("na", "nb", "binsa", "binsb")).select("a", "b"))
     nodes = slight(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     one = prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__hash")).alias("__one"))
     one = slight(one.select("node", F.col("__one.__id").alias("__one"), F.col("__one.__hash").alias("__with")))
