@@ -23,7 +23,8 @@ everything after that works on batches, and results come back to them by number.
 Nothing is sampled or capped: grams and digests only leave out what cannot match.
 
 Defined cases: null and empty texts have 0 bytes; a null id counts as larger than any
-other; rows with one id never match each other; an empty table gives an empty result;
+other; rows with one id never match each other; ids that are no whole numbers are an
+error; very long texts are a batch of their own; an empty table gives an empty result;
 only id and text are read.
 """
 
@@ -572,6 +573,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     ship(spark)
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} has to be a whole number, since smaller ids keep what they share with larger ones")
     shards = parallelism(spark)
     batches = materialize(pack(docs, id_col, text_col, batch).repartition(shards, "bid"))
     settled = materialize(answers(block_keys(batches, shards), shards))
