@@ -2,8 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
 kept. run() writes each stage's result as Parquet into the cluster's shared folder
-and reads it again as the next stage's docs. All stages but the last return the
-columns of documents.
+and reads it again as the next stage's docs; a stage's input is deleted once its result
+is written. All stages but the last return the columns of documents.
+
+Defined cases: null and empty texts count as empty, are equal to each other and take no
+part in the mix; null ids sort last; rows are known by id and text, so repeated ids with
+different texts stay apart and repeated rows are copies; null sources are a source;
+very long texts go through whole; an empty table gives an empty result; further columns
+are carried along up to the mix.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm import exact, mixing, nearcopies, piece, toxicity
 from gridlark.llm.queries import model_path
-from gridlark.runtime import shared_folder, table
+from gridlark.runtime import drop_folder, shared_folder, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,4 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}")
     return docs
