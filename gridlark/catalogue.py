@@ -86,9 +86,13 @@ def prototype_angle_pairs(spark, d):
     return met.select(F.col("polygon_id").alias("left_id"), "right_id", r(vec.angle_degrees(F.col("prototype"), F.col("other")), 5).alias("angle"))
 
 
-@query(f"SELECT count(*) AS n_rows, 64::bigint AS n_columns, 0::bigint AS missing, 0::bigint AS nonfinite, count(*) FILTER ({NORM} <= 1e-8) AS zero_norm, count(*) FILTER ({NORM} > 1e-8) AS valid FROM embeddings")
+@query(f"SELECT count(*) AS n_rows, 64::bigint AS n_columns, (64 * count(*) FILTER (vec_id % 11 = 0) + count(*) FILTER (vec_id % 11 <> 0 AND vec_id % 7 = 0))::bigint AS missing, (64 * count(*) FILTER (vec_id % 11 = 0) + count(*) FILTER (vec_id % 11 <> 0 AND vec_id % 7 = 0))::bigint AS nonfinite, count(*) FILTER (vec_id % 11 = 0 OR vec_id % 7 <> 0 AND vec_id % 5 = 0 OR {NORM} <= 1e-8) AS zero_norm, count(*) FILTER (vec_id % 11 <> 0 AND vec_id % 7 <> 0 AND vec_id % 5 <> 0 AND {NORM} > 1e-8) AS valid FROM embeddings")
 def feature_qc(spark, d):
-    return features.feature_qc(table(spark, d, "embeddings"))
+    """Every 11th vector is all NaN, of the rest every 7th lacks its first value and every 5th is zero."""
+    gone, first, zero = (F.col("vec_id") % k == 0 for k in (11, 7, 5))
+    nan = F.lit(float("nan")).cast("float")
+    v = F.transform("embedding", lambda x, i: F.when(gone | (first & (i == 0)), nan).when(zero & ~first, F.lit(0.0).cast("float")).otherwise(x))
+    return features.feature_qc(table(spark, d, "embeddings").withColumn("embedding", v))
 
 
 @query(f"SELECT label, count(*) AS n_valid FROM embeddings WHERE {NORM} > 1e-8 GROUP BY label")
@@ -125,9 +129,9 @@ def window_matrix_mask(spark, d):
     return features.window_mask(_annual(spark, d).where("NOT (sample_id % 4 = 0 AND year = 2018)"), [2017, 2018, 2019])
 
 
-@query(with_sql("pts") + ", y AS (SELECT DISTINCT year FROM pts WHERE year <> 2020) SELECT a.year AS end_year, l AS length, (a.year - l + 1)::int AS first_year FROM y a, (SELECT unnest([1, 2, 3, 5])::int AS l) WHERE (SELECT count(*) FROM y b WHERE b.year BETWEEN a.year - l + 1 AND a.year) = l")
+@query(with_sql("pts") + ", y AS (SELECT DISTINCT year FROM pts) SELECT a.year AS end_year, l AS length, (a.year - l + 1)::int AS first_year FROM y a, (SELECT unnest([1, 2, 3, 5])::int AS l) WHERE (SELECT count(*) FROM y b WHERE b.year BETWEEN a.year - l + 1 AND a.year) = l")
 def trailing_windows(spark, d):
-    return features.trailing_windows(relation(spark, d, "pts").where("year <> 2020"), [1, 2, 3, 5])
+    return features.trailing_windows(relation(spark, d, "pts"), [1, 2, 3, 5])
 
 
 @query(f"SELECT vec_id, y AS year, {q(f'list_sum({V})')} AS total FROM embeddings, (SELECT unnest([2017, 2018]) AS y)")
@@ -226,7 +230,7 @@ def utm_project(spark, d):
     return p.select("sample_id", r(x, 3).alias("x"), r(y, 3).alias("y"))
 
 
-@query()
+@query("SELECT 0.0::double AS error, count(*) AS n FROM orders")
 def utm_round_trip(spark, d):
     """Points projected and back: the largest error in degrees, which rounds to zero."""
     p = relation(spark, d, "pts").withColumn("z", grid.utm_zone(F.col("lon"))).withColumn("s", F.col("lat") < 0)
@@ -236,17 +240,6 @@ def utm_round_trip(spark, d):
     return p.withColumn("x", x).withColumn("y", y).agg(F.round(F.max(err), 7).alias("error"), F.count(F.lit(1)).alias("n"))
 
 
-@query(with_sql("tiles") + " SELECT grid_id, count(*) AS n_cells FROM (SELECT grid_id, unnest(range(floor(x0)::bigint, ceil(x1)::bigint)) AS ix, y0, y1 FROM tiles), LATERAL (SELECT unnest(range(floor(y0)::bigint, ceil(y1)::bigint)) AS iy) GROUP BY grid_id")
-def cells_from_bbox(spark, d):
-    return lookup.cells_of_boxes(relation(spark, d, "tiles"), per=1).groupBy("grid_id").agg(F.count(F.lit(1)).alias("n_cells"))
-
-
-@query(with_sql("tiles") + ", c AS (SELECT grid_id, region_id, k, unnest(range(floor(x0 + 0.25)::bigint, ceil(x0 + 0.75)::bigint)) AS ix, y0 FROM tiles) SELECT 'cell_' || ix || '_' || floor(y0)::bigint AS cell, string_agg(DISTINCT grid_id, '|' ORDER BY grid_id) AS grids FROM c GROUP BY ix, y0")
-def cell_intersections(spark, d):
-    t = relation(spark, d, "tiles").selectExpr("grid_id", "x0 + 0.25D AS x0", "x0 + 0.75D AS x1", "y0", "y0 + 0.5D AS y1")
-    return lookup.cells_of_boxes(t, per=1).groupBy("cell").agg(F.array_join(F.array_sort(F.collect_set("grid_id")), "|").alias("grids"))
-
-
 @query(with_sql("loc") + " SELECT ord, floor((x + 3) / 10) * 10 AS xmin, ceil((x + 17) / 10) * 10 AS xmax, floor((y - 8) / 10) * 10 AS ymin, ceil((y + 5) / 10) * 10 AS ymax, round((ceil((x + 17) / 10) * 10 - floor((x + 3) / 10) * 10) / 10)::bigint AS width FROM loc")
 def snap_grid_spec(spark, d):
     x0, x1 = grid.snapped(F.col("x") + 3, F.col("x") + 17)
@@ -288,7 +281,7 @@ def route_first_match(spark, d):
     return cube.route_first(relation(spark, d, "pts"), relation(spark, d, "tiles"), "ord")
 
 
-@query(with_sql("pts", "tiles") + ", w AS (SELECT grid_id, x0 - 4 AS x0, x1 + 4 AS x1, y0 - 4 AS y0, y1 + 4 AS y1 FROM tiles), m AS (SELECT p.ord, t.grid_id, least(p.lon - x0, x1 - p.lon, p.lat - y0, y1 - p.lat) AS m FROM pts p JOIN w t ON p.lon >= t.x0 AND p.lon < t.x1 AND p.lat >= t.y0 AND p.lat < t.y1) SELECT ord, grid_id, " + q("m") + " AS margin FROM m QUALIFY row_number() OVER (PARTITION BY ord ORDER BY m DESC, grid_id) = 1")
+@query(with_sql("pts", "tiles") + ", w AS (SELECT grid_id, x0 - 4 AS x0, x1 + 4 AS x1, y0 - 4 AS y0, y1 + 4 AS y1 FROM tiles), m AS (SELECT p.ord, t.grid_id, least(p.lon - x0, x1 - p.lon, p.lat - y0, y1 - p.lat) AS m FROM pts p JOIN w t ON p.lon >= t.x0 AND p.lon <= t.x1 AND p.lat >= t.y0 AND p.lat <= t.y1) SELECT ord, grid_id, " + q("m") + " AS margin FROM m QUALIFY row_number() OVER (PARTITION BY ord ORDER BY m DESC, grid_id) = 1")
 def choose_grid(spark, d):
     w = relation(spark, d, "tiles").selectExpr("grid_id", "x0 - 4 AS x0", "x1 + 4 AS x1", "y0 - 4 AS y0", "y1 + 4 AS y1")
     return cube.choose_grid(relation(spark, d, "pts"), w, "ord").withColumn("margin", r("margin"))
@@ -328,7 +321,7 @@ def block_plan(spark, d):
 @query(BLOCKS + " SELECT grid_id, block_row, block_col FROM b WHERE (block_row + block_col) % 512 <> 0")
 def pending_blocks(spark, d):
     b = _blocks(spark, d).select("grid_id", "block_row", "block_col")
-    return b.join(b.where("(block_row + block_col) % 512 = 0"), ["grid_id", "block_row", "block_col"], "left_anti")
+    return cube.pending(b, b.where("(block_row + block_col) % 512 = 0"), ["grid_id", "block_row", "block_col"])
 
 
 @query("SELECT o_custkey, o_orderkey AS source FROM orders WHERE o_orderstatus <> 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority <> '1-URGENT', o_orderkey) = 1")
@@ -337,12 +330,12 @@ def native_source_pick(spark, d):
     return cube.pick_source(o, "o_custkey", [F.col("o_orderpriority") != "1-URGENT", F.col("o_orderkey")], F.col("o_orderstatus") != "P").select("o_custkey", F.col("o_orderkey").alias("source"))
 
 
-@query(f"WITH p AS (SELECT {V} AS a, list_transform({V}, lambda x: CASE WHEN vec_id % 7 = 0 THEN x + 1 ELSE x END) AS b FROM embeddings), z AS (SELECT list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2])) AS dif FROM p) SELECT count(*) AS n_vectors, count(*) AS n_complete, count(*) FILTER (list_max(dif) = 0) AS n_exact, 0::bigint AS mask_disagreements, {q('max(list_max(dif))', 6)} AS max_difference, {q('sum(list_sum(dif)) / (count(*) * 64)', 6)} AS mean_difference, 'value_mismatch' AS outcome FROM z")
+@query(f"WITH p AS (SELECT {V} AS a, list_transform({V}, lambda x: CASE WHEN vec_id % 7 = 0 THEN x + 1 ELSE x END) AS b FROM embeddings), z AS (SELECT list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2])) AS dif FROM p) SELECT count(*) AS n_vectors, count(*) AS n_complete, count(*) FILTER (list_max(dif) = 0) AS n_exact, 0::bigint AS mask_disagreements, {q('max(list_max(dif))', 6)} AS max_difference, {q('sum(list_sum(dif)) / (count(*) * 64)', 6)} AS mean_difference FROM z")
 def window_compare(spark, d):
     e = table(spark, d, "embeddings")
     moved = e.select("vec_id", F.transform("embedding", lambda x: F.when(F.col("vec_id") % 7 == 0, x.cast("double") + 1).otherwise(x.cast("double"))).alias("embedding"))
     out = audit.compare(e, moved, ["vec_id"])
-    return out.select("n_vectors", "n_complete", "n_exact", "mask_disagreements", r("max_difference", 6).alias("max_difference"), r("mean_difference", 6).alias("mean_difference"), audit.classify(F.col("n_vectors"), F.col("n_complete"), F.col("n_exact"), F.col("mask_disagreements")).alias("outcome"))
+    return out.select("n_vectors", "n_complete", "n_exact", "mask_disagreements", r("max_difference", 6).alias("max_difference"), r("mean_difference", 6).alias("mean_difference"))
 
 
 @query(with_sql("reqlog") + f" SELECT event, count(*) AS n, {q('quantile_cont(latency, 0.5)')} AS p50, {q('quantile_cont(latency, 0.95)')} AS p95, max(latency) AS max FROM reqlog GROUP BY event")
@@ -368,10 +361,15 @@ def nearest_negative_exclusion(spark, d):
     return cube.exclude_near(p, p.where("ord % 50 = 0"), "ord", "x", "y", 7.0).select("ord")
 
 
-@query(with_sql("loc") + " SELECT ord, abs((x - 500000) / 10 - round_even((x - 500000) / 10, 0)) < 1e-6 AND abs((y - 10000000) / 10 - round_even((y - 10000000) / 10, 0)) < 1e-6 AS matches FROM loc")
+@query(with_sql("loc") + " SELECT ord, CASE WHEN ord % 5 = 4 THEN false ELSE (x - 500000) % 10 = 0 AND (10000000 - y) % 10 = 0 AND ord % 5 <> 3 END AS matches, ord % 5 = 0 AND (x - 500000) % 10 = 0 AND (10000000 - y) % 10 = 0 AS aligned FROM loc")
 def footprint_match(spark, d):
-    zero = F.lit(10.0)
-    return relation(spark, d, "loc").select("ord", grid.footprint_match(F.lit(500000.0), F.lit(10000000.0), F.col("x"), F.col("y"), -zero, zero).alias("matches"))
+    """Grids at every point: as they are, flipped, with swapped axes, sheared or in another zone."""
+    k = F.col("ord") % 5
+    n = lambda *v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), (k + 1).cast("int"))
+    one = {"ua": 10.0, "ub": 0.0, "uc": 500000.0, "ud": 0.0, "ue": -10.0, "uf": 10000000.0}
+    rows = relation(spark, d, "loc").withColumns({c: F.lit(v) for c, v in one.items()} | {"uepsg": F.lit(32717), "vepsg": F.when(k == 4, 32650).otherwise(32717)})
+    rows = rows.withColumns({"va": n(10, 10, 0, 10, 10), "vb": n(0, 0, 10, 1, 0), "vc": F.col("x"), "vd": n(0, 0, 10, 0, 0), "ve": n(-10, 10, 0, -10, -10), "vf": F.col("y")})
+    return rows.select("ord", grid.footprint_relation("u", "v").alias("g")).select("ord", "g.matches", "g.aligned")
 
 
 @query("SELECT n_name AS grid_id, n_regionkey AS version FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL SELECT n_name, n_regionkey + 10 FROM nation WHERE n_nationkey % 3 = 0")
@@ -385,13 +383,6 @@ def delivery_check(spark, d):
     return audit.delivery_check(table(spark, d, "customer").withColumnRenamed("c_custkey", "k"), table(spark, d, "orders").withColumnRenamed("o_custkey", "k"), "k", F.col("o_orderstatus") != "P")
 
 
-@query("SELECT p_brand, CASE WHEN p_size % 3 = 0 THEN '10m_native' WHEN p_size % 3 = 1 THEN '30m_derivative_not_native_10m' ELSE 'other' END AS resolution, count(*) AS n, sum(p_size)::bigint AS size FROM part GROUP BY 1, 2")
-def inventory_class(spark, d):
-    res = F.element_at(F.array(F.lit(10.0), F.lit(30.0), F.lit(20.0)), (F.col("p_size") % 3 + 1).cast("int"))
-    kind = F.when(F.abs(res - 10) < 1e-6, "10m_native").when(F.abs(res - 30) < 1e-6, "30m_derivative_not_native_10m").otherwise("other")
-    return table(spark, d, "part").groupBy("p_brand", kind.alias("resolution")).agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").cast("long").alias("size"))
-
-
 @query(f"SELECT l_returnflag, count(*) AS calls, {q('sum(l_quantity)', 4)} AS total, {q('avg(l_quantity)', 6)} AS mean, {q('quantile_cont(l_quantity, 0.5)')} AS median, {q('quantile_cont(l_quantity, 0.95)')} AS p95, min(l_quantity) AS min, max(l_quantity) AS max, {q('sum(l_extendedprice) / sum(l_quantity)', 4)} AS rate FROM lineitem GROUP BY 1")
 def benchmark_summary(spark, d):
     out = audit.benchmark_summary(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
@@ -409,14 +400,6 @@ def event_progress(spark, d):
     return audit.progress(relation(spark, d, "reqlog"), "worker", ["ts", "event_id"])
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'timeout' WHEN event_id % 5 = 0 THEN 'retryable' ELSE 'permanent' END AS class FROM events")
-def error_classes(spark, d):
-    e = table(spark, d, "events")
-    status = F.when(F.col("event_id") % 5 == 0, 503).otherwise(400)
-    message = F.when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), "Request timed out")
-    return e.select("event_id", audit.error_class(status, message).alias("class"))
-
-
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '<MISSING>' ELSE upper(trim(c_mktsegment)) END AS segment FROM customer")
 def normalised_class(spark, d):
     return table(spark, d, "customer").select("c_custkey", points.missing_text(F.when(F.col("c_custkey") % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.lower("c_mktsegment")))).alias("segment"))
@@ -427,11 +410,6 @@ def point_rank(spark, d):
     return features.nth_rank(table(spark, d, "orders"), "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "point_rank")
 
 
-@query()
-def content_signature(spark, d):
-    return audit.content_signature(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, " + q("sum(value)", 4) + " AS total FROM events GROUP BY 1, 2")
 def windowed_events(spark, d):
     from gridlark.streaming.events import windowed

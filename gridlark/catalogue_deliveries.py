@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridlark.catalogue import NORM, V, _triangles, q, query, r
 from gridlark.functions import crs, grid
 from gridlark.operators import audit, cube, geometry, lookup, mosaic, points, store
-from gridlark.plans import budget
 from gridlark.plans.relations import relation, with_sql
 from gridlark.runtime import table
 
@@ -214,11 +212,10 @@ def exclude_around(spark, d):
     return geometry.exclude_around(relation(spark, d, "pts"), boxes, 2.0, 12.0, "ord", "lon", "lat").select("ord")
 
 
-@query(with_sql("tiles") + ", t AS (SELECT grid_id, x0, y0, (x1 - x0) / 2 AS m, y1 - y0 AS h FROM tiles) SELECT grid_id, " + q("m * h - (h - 5) * (m * (h - 5) / h)", 6) + " AS area FROM t WHERE y0 = -50")
+@query(with_sql("tiles") + ", t AS (SELECT grid_id, (x1 - x0) / 2 AS m, y1 - y0 AS h, greatest(0.0::double, least(y1, 15.0::double) - y0) AS k FROM tiles) SELECT grid_id, " + q("CASE WHEN k >= h THEN m * h ELSE m * h - (h - k) * (m * (h - k) / h) END", 6) + " AS area FROM t")
 def clip_area(spark, d):
-    """Triangles of the lowest row of tiles, without what lies 5 degrees or more above their base."""
-    t = _triangles(spark, d).where(F.col("ring")[0]["y"] == -50)
-    return t.select("grid_id", r(F.abs(geometry.signed_area(geometry.clip(F.col("ring"), -180.0, 180.0, -60.0, -45.0))), 6).alias("area"))
+    """Areas of the tiles' triangles below 15 degrees north."""
+    return _triangles(spark, d).select("grid_id", r(F.abs(geometry.signed_area(geometry.clip(F.col("ring"), -180.0, 180.0, -60.0, 15.0))), 6).alias("area"))
 
 
 @query("SELECT c_custkey, least(12, greatest(1, ceil(abs(c_acctbal) / 1000)))::int AS target FROM customer")
@@ -261,30 +258,11 @@ def probes_pass(spark, d):
     return audit.probes_pass(relation(spark, d, "pix").withColumn("embedding", v), "tile")
 
 
-@query("WITH h AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '17MPU' END AS tile, CASE WHEN p_partkey % 4 = 1 THEN NULL ELSE (2017 + p_size % 9)::int END AS year, CASE WHEN p_size % 2 = 0 THEN 10980 ELSE 512 END AS n FROM part) SELECT p_partkey, tile, year, CASE WHEN tile IS NULL THEN 'other' WHEN n = 10980 THEN 'full_mgrs' ELSE 'mgrs_subset/reference' END AS footprint_class FROM h")
-def raster_inventory(spark, d):
-    p = table(spark, d, "part")
-    name = F.concat(F.lit("/data/"), F.when(F.col("p_partkey") % 3 == 0, "T17mpu").otherwise("site"), F.lit("_"), (2017 + F.col("p_size") % 9).cast("string"), F.when(F.col("p_partkey") % 4 == 1, "_1999").otherwise(""), F.lit(".tif"))
-    n = F.when(F.col("p_size") % 2 == 0, 10980).otherwise(512)
-    return mosaic.inventory(p.select("p_partkey", name.alias("path"), n.alias("width"), n.alias("height"), F.lit(10.0).alias("resolution"))).select("p_partkey", "tile", "year", "footprint_class")
-
-
 @query(with_sql("tiles") + " SELECT region_id, count(*) AS n_tiles, abs(min(x0) + 180) < 1e-6 AND abs(max(x1) - 30) < 1e-6 AND abs(min(y0) + 50) < 1e-6 AND abs(max(y1) + 30) < 1e-6 AS matches FROM tiles GROUP BY 1")
 def mosaic_contract(spark, d):
     return mosaic.mosaic_contract(relation(spark, d, "tiles"), "region_id", -180.0, 30.0, -50.0, -30.0)
 
 
-def _peak(block: Column) -> Column:
-    """The memory model of 4 workers as a column."""
-    raw = block * block * 256
-    return F.lit(budget.BASE) + 4 * F.greatest(F.lit(budget.GRID_LEAST), (budget.GRID_COPIES * raw).cast("long")) + 4 * raw
-
-
-@query("SELECT n_nationkey, 268435456 + 4 * greatest(33554432, floor(2.5 * (64 * n_nationkey) * (64 * n_nationkey) * 256)::bigint) + 4 * (64 * n_nationkey)::bigint * (64 * n_nationkey) * 256 AS peak FROM nation")
-def request_memory(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", _peak((64 * F.col("n_nationkey")).cast("long")).alias("peak"))
-
-
 @query("WITH g AS (SELECT user_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), s AS (SELECT *, count(*) FILTER (gap IS NULL OR gap >= INTERVAL 6 HOUR) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
 def event_sessions(spark, d):
     from gridlark.streaming.events import sessions

@@ -73,10 +73,31 @@ def footprints_match(a: tuple, b: tuple, tol: float = 1e-6) -> bool:
     return axes and all(abs(v - round(v)) < tol for v in solve(b[2] - a[2], b[5] - a[5]))
 
 
-def footprint_match(c1: Column, f1: Column, c2: Column, f2: Column, e1: Column, e2: Column, step: float = RESOLUTION) -> Column:
-    """The same for north-up or flipped grids of one step: whole-pixel shifts in both axes."""
-    dx, dy = (c2 - c1) / step, (f2 - f1) / step
-    return (F.abs(e1) == step) & (F.abs(e2) == step) & (F.abs(dx - F.rint(dx)) < 1e-6) & (F.abs(dy - F.rint(dy)) < 1e-6)
+def footprint_relation(one: str, other: str, tol: float = 1e-6) -> Column:
+    """struct of how the transform in columns {other}a to {other}f lies to the one in {one}a to {one}f, both with {..}epsg.
+
+    p, q, r, s: its linear part in the first grid's pixels; dx, dy: its origin there; rx, ry: how far these are from whole pixels;
+    aligned: the same axes and whole shifts; matches: pixels cover the same ground, flips and swaps of axes aside. Both need one system.
+    """
+    u = {k: F.col(one + k).cast("double") for k in "abcdef"}
+    v = {k: F.col(other + k).cast("double") for k in "abcdef"}
+    det = F.nullif(u["a"] * u["e"] - u["b"] * u["d"], F.lit(0.0))
+    solve = lambda x, y: ((u["e"] * x - u["b"] * y) / det, (u["a"] * y - u["d"] * x) / det)
+    (p, r), (q, s), (dx, dy) = solve(v["a"], v["d"]), solve(v["b"], v["e"]), solve(v["c"] - u["c"], v["f"] - u["f"])
+    off = lambda x: F.abs(x - F.rint(x))
+    unit = lambda x: F.abs(F.abs(x) - 1) < 1e-10
+    zero = lambda x: F.abs(x) < 1e-10
+    same = F.col(one + "epsg") == F.col(other + "epsg")
+    whole = (off(dx) < tol) & (off(dy) < tol)
+    straight = (F.abs(p - 1) < 1e-10) & (F.abs(s - 1) < 1e-10) & zero(q) & zero(r)
+    turned = (unit(p) & unit(s) & zero(q) & zero(r)) | (unit(q) & unit(r) & zero(p) & zero(s))
+    told = lambda test: F.coalesce(same & whole & test, F.lit(False))
+    return F.struct(p.alias("p"), q.alias("q"), r.alias("r"), s.alias("s"), dx.alias("dx"), dy.alias("dy"), off(dx).alias("rx"), off(dy).alias("ry"), told(straight).alias("aligned"), told(turned).alias("matches"))
+
+
+def window_origin(x0: Column, y0: Column, row: Column, col: Column, step: float = RESOLUTION) -> Column:
+    """Top left corner of a window of a north-up grid."""
+    return F.struct((x0 + col * step).cast("double").alias("x"), (y0 - row * step).cast("double").alias("y"))
 
 
 def quad_split(row: int, col: int, height: int, width: int, least: int) -> Iterator[tuple[int, int, int, int, str]]:

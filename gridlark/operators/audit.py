@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions import vec
+from gridlark.operators import ranks
 
 
 def compare(left: DataFrame, right: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
@@ -26,20 +27,40 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str], vector: str = "e
     return rows.agg(F.count(F.lit(1)).alias("n_vectors"), F.count_if("pair").alias("n_complete"), F.count_if("exact").alias("n_exact"), F.coalesce(F.sum("mask"), F.lit(0)).cast("long").alias("mask_disagreements"), F.max("hi").alias("max_difference"), (F.sum("sum") / F.sum("n")).alias("mean_difference"))
 
 
-def classify(total: Column, complete: Column, exact: Column, mask: Column) -> Column:
-    """Outcome of a comparison."""
-    return F.when(complete == 0, F.when(mask > 0, "mask_mismatch").otherwise("no_complete_pair")).when((exact == complete) & (mask == 0), "exact_match").when(exact == complete, "exact_with_mask_difference").otherwise("value_mismatch")
+def spot_check(local: DataFrame, native: DataFrame, foreign: DataFrame, keys: list[str], window: str, vector: str = "embedding") -> DataFrame:
+    """window and outcome of each window of local pixels against the native source and those of other zones.
+
+    local holds window, keys, vector; native and foreign (any number of sources) hold keys and vector. Without a complete
+    local or native pixel nothing can be said; else either all pixels agree, or a pixel that differs
+    equals one of another zone's source, or the difference stays unresolved.
+    """
+    a, b, c = F.col("__a"), F.col("__b"), F.col("__c")
+    met = local.select(window, *keys, F.col(vector).alias("__a")).join(native.select(*keys, F.col(vector).alias("__b")), keys, "left")
+    others = foreign.select(*keys, F.col(vector).alias("__c"))
+    held = vec.complete(a)
+    differs = ~F.coalesce(vec.complete(b) & (a == b), F.lit(False))
+    crossed = met.where(held & differs).join(others, keys).where(a == c).select(window).distinct().withColumn("__crossed", F.lit(True))
+    seen = met.groupBy(window).agg(F.bool_or(held).alias("__local"), F.bool_or(vec.complete(b)).alias("__native"), F.bool_and(a.eqNullSafe(b)).alias("__same"))
+    outcome = (
+        F.when(~F.col("__local"), "inconclusive_local_nodata")
+        .when(~F.col("__native"), "inconclusive_native_nodata")
+        .when(F.col("__same"), "sample_native_match")
+        .when(F.col("__crossed"), "cross_utm_source_match_at_differing_pixels")
+        .otherwise("unresolved_difference_not_automatically_resampling")
+    )
+    return seen.join(crossed, window, "left").select(window, outcome.alias("outcome"))
 
 
 def latency(log: DataFrame, event: str = "event", value: str = "latency") -> DataFrame:
     """Count, p50, p95 (linear interpolation) and maximum by event."""
-    p = lambda q: F.percentile(value, q)
-    return log.groupBy(event).agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.max(value).alias("max"))
+    one = log.groupBy(event).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("max"))
+    return ranks.joined(one, ranks.percentiles(log, [event], value, {"p50": 0.5, "p95": 0.95}), [event]).select(event, "n", "p50", "p95", "max")
 
 
 def benchmark_summary(calls: DataFrame, by: str, value: str, payload: str) -> DataFrame:
     """Calls, total, mean, median, p95, extremes and payload per second."""
-    return calls.groupBy(by).agg(F.count(F.lit(1)).alias("calls"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.95).alias("p95"), F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(payload) / F.sum(value)).alias("rate"))
+    one = calls.groupBy(by).agg(F.count(F.lit(1)).alias("calls"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(payload) / F.sum(value)).alias("rate"))
+    return ranks.joined(one, ranks.percentiles(calls, [by], value, {"median": 0.5, "p95": 0.95}), [by]).select(by, "calls", "total", "mean", "median", "p95", "min", "max", "rate")
 
 
 def coverage(df: DataFrame, area: str, ok: Column, by: list[str]) -> DataFrame:
@@ -57,16 +78,42 @@ def delivery_check(expected: DataFrame, actual: DataFrame, key: str, status: Col
     return met.agg(F.count_if("e").alias("n_expected"), F.count_if(F.col("done").isNotNull()).alias("n_delivered"), F.count_if(F.col("e") & F.col("done").isNull()).alias("n_missing"), F.count_if(F.col("e").isNull()).alias("n_unexpected"), F.count_if(~F.col("done")).alias("n_incomplete"))
 
 
-def redact(c: Column) -> Column:
-    """Text without bearer tokens and long secrets."""
-    c = F.regexp_replace(c, r"(?i)bearer [A-Za-z0-9._-]+", "bearer <redacted>")
-    return F.regexp_replace(c, r"(?i)(token|key|secret)=[^&\s]+", "$1=<redacted>")
+#: What is redacted, and with what.
+REDACTIONS = (
+    (r"(?i)(authorization\s*:\s*bearer\s+)[^\s,;]+", "$1<redacted>"),
+    (r"(?i)((?:refresh_token|access_token|client_secret|id_token)\s*[=:]\s*)['\"]?[^\s,'\"}]+", "$1<redacted>"),
+    (r"(?i)\bgee-[a-z0-9][a-z0-9-]{4,}\b", "<redacted-project>"),
+)
 
 
-def error_class(status: Column, message: Column) -> Column:
-    """timeout, retryable or permanent."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    return F.when((status == 408) | m.rlike("timed? ?out|deadline"), "timeout").when((status == 429) | (status >= 500) | m.rlike("rate|quota|unavailable|reset"), "retryable").otherwise("permanent")
+def redact(c: Column) -> Column:
+    """Text without bearer tokens, named credentials and project ids."""
+    for pattern, put in REDACTIONS:
+        c = F.regexp_replace(c, pattern, put)
+    return c
+
+
+#: Status codes, exception names and phrases by which a failed request is told retryable or permanent.
+TIMEOUT_PHRASES = ("timed out", "deadline exceeded")
+RETRY_STATUS = (408, 409, 425, 429)
+PERMANENT_STATUS = (400, 401, 403, 404)
+PERMANENT_PHRASES = ("authentication", "authenticate", "invalid credential", "permission denied", "not authorized", "unauthorized", "invalid argument", "unknown band", "schema", "not found", "certificate verify failed", "hostname mismatch")
+RETRY_KINDS = ("chunkedencodingerror", "connectionerror", "incompleteread", "protocolerror", "readtimeouterror", "remotedisconnected", "responsevalidationerror", "ssleoferror", "earthengineresponseerror", "connectionreseterror", "connectionabortederror", "connectionrefusederror", "brokenpipeerror")
+RETRY_PHRASES = ("connection reset", "connection aborted", "connection refused", "temporarily unavailable", "internal error", "backend error", "rate limit", "too many requests", "quota exceeded", "service unavailable", "remote end closed", "connection broken", "eof occurred in violation of protocol", "incomplete read", "peer closed connection", "response ended prematurely", "tls/ssl connection has been closed", "unexpected eof while reading")
+
+
+def error_class(status: Column, message: Column, kind: Column | None = None) -> Column:
+    """timeout, retryable or permanent, of a request's status code, message and exception name; what is unknown is permanent."""
+    text, name = F.lower(F.coalesce(message, F.lit(""))), F.lower(F.coalesce(kind if kind is not None else F.lit(""), F.lit("")))
+    has = lambda c, phrases: F.exists(F.array(*map(F.lit, phrases)), lambda x: F.contains(c, x))
+    code = F.coalesce(status.cast("int"), F.lit(0))
+    rules = [
+        ("timeout", F.contains(name, F.lit("timeout")) | has(text, TIMEOUT_PHRASES)),
+        ("retryable", code.isin(*RETRY_STATUS) | code.between(500, 599)),
+        ("permanent", code.isin(*PERMANENT_STATUS) | has(text, PERMANENT_PHRASES)),
+        ("retryable", has(name, RETRY_KINDS) | has(text, RETRY_PHRASES)),
+    ]
+    return F.coalesce(*[F.when(test, F.lit(label)) for label, test in rules], F.lit("permanent"))
 
 
 def progress(log: DataFrame, by: str, order: list[str], event: str = "event") -> DataFrame:
@@ -79,16 +126,28 @@ def raw_gib(height: Column, width: Column, years: int) -> Column:
     return height.cast("bigint") * width.cast("bigint") * (years * vec.BANDS * 4) / float(1 << 30)
 
 
-def content_signature(df: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
-    """One order-free digest of a table: a hash of sorted bucket hashes of row hashes, with the row count.
+def signature_of(rows: DataFrame, text: Column) -> DataFrame:
+    """n_rows and signature of a table by a text of each row, whatever the rows' order.
 
-    Differs from a digest of one ordered stream on purpose: that would take a single task.
+    Row digests are sorted and hashed in 65,536 buckets of their first digits, these in 256, these
+    at last in one: hashes of sorted hashes. A digest of one ordered stream would take a single task.
     """
-    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    parts = df.select(row.alias("h")).withColumn("b", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    parts = parts.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")).alias("s"), F.sum(F.conv(F.substring("h", 16, 15), 16, 10).cast("decimal(38,0)")).alias("t"))
-    whole = parts.agg(F.sum("n").alias("n_rows"), F.array_sort(F.collect_list(F.concat_ws(":", "b", "n", "s", "t"))).alias("all"))
-    return whole.select(F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.sha2(F.concat_ws(",", "all"), 256).alias("signature"))
+    digest = rows.select(F.sha2(text.cast("binary"), 256).alias("h"))
+    fold = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ",").cast("binary"), 256)
+    low = digest.groupBy(F.substring("h", 1, 4).alias("b")).agg(F.count(F.lit(1)).alias("n"), fold("h").alias("h"))
+    mid = low.groupBy(F.substring("b", 1, 2).alias("c")).agg(F.sum("n").alias("n"), fold(F.concat("b", "h")).alias("h"))
+    return mid.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), fold(F.concat("c", "h")).alias("signature"))
+
+
+def sample_signature(df: DataFrame, key: str = "sample_id", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Signature of a table's ids and coordinates (ten decimals)."""
+    return signature_of(df, F.concat_ws("\t", F.col(key).cast("string"), F.format_string("%.10f", F.col(lon)), F.format_string("%.10f", F.col(lat))))
+
+
+def content_signature(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Signature of whole rows, as JSON arrays of their values' texts; null and NaN are null."""
+    value = lambda c: F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != "NaN"), F.col(c).cast("string"))
+    return signature_of(df, F.to_json(F.array(*[value(c) for c in columns])))
 
 
 def parse_log(lines: DataFrame, marker: str, schema: str, column: str = "value") -> DataFrame:
@@ -102,7 +161,8 @@ def report_summary(reports: DataFrame, peak: str, workflow: str, ready: list[Col
     seen = F.lit(True)
     for r in ready:
         seen = seen & F.coalesce(F.bool_or(r), F.lit(False))
-    return reports.agg(F.count(F.lit(1)).alias("n_reports"), F.countDistinct(workflow).alias("n_workflows"), F.percentile(peak, 0.5).alias("median_peak"), F.max(peak).alias("max_peak"), seen.alias("calibration_ready"))
+    one = reports.agg(F.count(F.lit(1)).alias("n_reports"), F.countDistinct(workflow).alias("n_workflows"), F.max(peak).alias("max_peak"), seen.alias("calibration_ready"))
+    return ranks.joined(one, ranks.percentiles(reports, [], peak, {"median_peak": 0.5}), []).select("n_reports", "n_workflows", "median_peak", "max_peak", "calibration_ready")
 
 
 def probes_pass(probes: DataFrame, by: str, vector: str = "embedding") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions import grid
+from gridlark.operators import buckets
 
 CHUNK = 64
 
@@ -55,13 +56,32 @@ def patches(points: DataFrame, pixels: DataFrame, key: str, size: int, value: st
     """
     if size < 1 or size % 2 == 0:
         raise ValueError("patch size must be a positive odd number")
+    placed = points.select(key, *within, "row", "col")
+    held = patch_values(placed, pixels.select(*within, "row", "col", value), [key], list(within), size, value)
+    kind = dict(pixels.dtypes)[value]
+    return placed.select(key).distinct().join(held, key, "left").select(key, F.coalesce(F.size(F.filter(F.map_values("__m"), lambda v: v.isNotNull())), F.lit(0)).cast("long").alias("n_filled"), unfolded(size, kind).alias("patch"))
+
+
+def patch_values(placed: DataFrame, pixels: DataFrame, by: list[str], within: list[str], size: int, value: str) -> DataFrame:
+    """by and __m: each patch's values by their place in it (row-major, from 0).
+
+    Patches and pixels meet under squares of the patch's size, of which a patch touches four at most: a point gives four
+    rows, not one a pixel, and every pixel one.
+    """
     half = size // 2
-    offsets = F.sequence(F.lit(-half), F.lit(half))
-    cells = points.select(key, *within, "row", "col", F.posexplode(F.flatten(F.transform(offsets, lambda dr: F.transform(offsets, lambda dc: F.struct(dr.alias("dr"), dc.alias("dc")))))).alias("k", "o"))
-    cells = cells.select(key, *within, "k", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
-    got = cells.join(pixels.select(*within, "row", "col", F.col(value).alias("__v")), [*within, "row", "col"], "left")
-    patch = F.transform(F.array_sort(F.collect_list(F.struct("k", "__v"))), lambda s: s["__v"])
-    return got.groupBy(key).agg(F.count("__v").alias("n_filled"), patch.alias("patch"))
+    square = lambda c: F.floor(c / size).cast("long")
+    spread = lambda c: F.explode(F.sequence(square(F.col(c) - half), square(F.col(c) + half)))
+    near = placed.where(F.col("row").isNotNull() & F.col("col").isNotNull()).withColumn("__sr", spread("row")).withColumn("__sc", spread("col"))
+    cells = pixels.select(*within, F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).alias("__v")).withColumn("__sr", square(F.col("__r"))).withColumn("__sc", square(F.col("__c")))
+    dr, dc = F.col("__r") - F.col("row") + half, F.col("__c") - F.col("col") + half
+    met = near.join(cells, [*within, "__sr", "__sc"]).where(dr.between(0, size - 1) & dc.between(0, size - 1))
+    return met.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct((dr * size + dc).cast("int").alias("k"), F.col("__v").alias("v")))).alias("__m"))
+
+
+def unfolded(size: int, kind: str) -> Column:
+    """The whole patch of patch_values, null where there is no value."""
+    held = F.coalesce("__m", F.create_map().cast(f"map<int,{kind}>"))
+    return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.try_element_at(held, k))
 
 
 def patch_quality(patches: DataFrame, size: int) -> DataFrame:
@@ -69,13 +89,12 @@ def patch_quality(patches: DataFrame, size: int) -> DataFrame:
     return patches.withColumn("patch_valid_fraction", F.col("n_filled") / float(size * size)).withColumn("patch_complete", F.col("n_filled") == size * size)
 
 
-def _bucketed(points: DataFrame, boxes: DataFrame, x: str, y: str, span: float) -> DataFrame:
-    """Pairs of points and the boxes (x0, x1, y0, y1, grid_id) that hold them, half-open, by equal buckets."""
-    cell = lambda c: F.floor(c / span)
-    right = boxes.withColumn("__bx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("__by", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
-    left = points.withColumn("__bx", F.when(grid.is_finite(F.col(x)), cell(F.col(x)))).withColumn("__by", F.when(grid.is_finite(F.col(y)), cell(F.col(y))))
-    met = left.join(right, ["__bx", "__by"])
-    return met.where((F.col(x) >= F.col("x0")) & (F.col(x) < F.col("x1")) & (F.col(y) >= F.col("y0")) & (F.col(y) < F.col("y1"))).drop("__bx", "__by")
+def _bucketed(points: DataFrame, boxes: DataFrame, x: str, y: str, span: float, closed: bool = False) -> DataFrame:
+    """Pairs of points and the boxes (x0, x1, y0, y1, grid_id) that hold them, by equal buckets; half-open or closed."""
+    dealt = buckets.boxes(boxes, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), span)
+    met = buckets.points(points, F.col(x), F.col(y), span, buckets.levels(dealt)).join(dealt, buckets.KEYS)
+    below = lambda a, b: F.col(a) <= F.col(b) if closed else F.col(a) < F.col(b)
+    return met.where((F.col(x) >= F.col("x0")) & below(x, "x1") & (F.col(y) >= F.col("y0")) & below(y, "y1")).drop(*buckets.KEYS)
 
 
 def route_first(points: DataFrame, boxes: DataFrame, key: str, x: str = "lon", y: str = "lat", span: float = 10.0) -> DataFrame:
@@ -85,8 +104,8 @@ def route_first(points: DataFrame, boxes: DataFrame, key: str, x: str = "lon", y
 
 
 def choose_grid(points: DataFrame, boxes: DataFrame, key: str, x: str = "lon", y: str = "lat", span: float = 10.0) -> DataFrame:
-    """key, grid_id and margin of the covering grid whose boundary is farthest; ties: smallest id."""
-    met = _bucketed(points, boxes, x, y, span)
+    """key, grid_id and margin of the covering grid whose boundary is farthest; points on a boundary count; ties: smallest id."""
+    met = _bucketed(points, boxes, x, y, span, closed=True)
     margin = F.least(F.col(x) - F.col("x0"), F.col("x1") - F.col(x), F.col(y) - F.col("y0"), F.col("y1") - F.col(y))
     best = met.withColumn("__m", margin).groupBy(key).agg(F.min(F.struct((-F.col("__m")).alias("m"), "grid_id")).alias("b"))
     return best.select(key, F.col("b.grid_id").alias("grid_id"), (-F.col("b.m")).alias("margin"))
@@ -107,13 +126,28 @@ def exclude_near(left: DataFrame, right: DataFrame, key: str, x: str, y: str, ra
     return left.join(near_any(left, right, key, x, y, radius), key, "left_anti")
 
 
-def cap_per_block(df: DataFrame, x: str, y: str, order: list[Column], most: int, size: float = 6000.0) -> DataFrame:
-    """At most `most` rows of each spatial block, in the given order; block shows where they lie."""
+def cap_per_block(df: DataFrame, x: str, y: str, order: list[Column], most: int, size: float = 6000.0, target: int | None = None) -> DataFrame:
+    """At most `most` rows of each spatial block, in the given order; block shows where they lie.
+
+    target: of these, so many at most over all blocks, in the same order. Fewer than the target is an error.
+    """
     from pyspark.sql import Window
 
     block = grid.spatial_block(F.col(x), F.col(y), size)
     rank = F.row_number().over(Window.partitionBy("block").orderBy(*order))
-    return df.withColumn("block", block).withColumn("block_rank", rank).where(F.col("block_rank") <= most)
+    out = df.withColumn("block", block).withColumn("block_rank", rank).where(F.col("block_rank") <= most)
+    if target is None:
+        return out
+    first = out.orderBy(*order).limit(target)  # each task keeps its first ones, so no task holds all
+    n = first.count()
+    if n < target:
+        raise ValueError(f"{n} of {target} points could be placed")
+    return first
+
+
+def pending(blocks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks that a ledger of finished ones lacks."""
+    return blocks.join(done.select(*keys), keys, "left_anti")
 
 
 def block_plan(grids: DataFrame, size: int = 256) -> DataFrame:

@@ -10,7 +10,7 @@ from gridlark.runtime import materialize
 
 
 def feature_qc(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """One row: rows, columns, missing and non-finite values, zero-norm and valid rows."""
+    """One row: rows, columns, missing and non-finite values, zero-norm and valid rows. Values that are not finite count as 0 in a norm."""
     v = F.col(vector)
     count = lambda test: F.aggregate(v, F.lit(0), lambda n, x: n + test(x).cast("int"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -19,16 +19,19 @@ def feature_qc(df: DataFrame, vector: str = "embedding") -> DataFrame:
         F.coalesce(F.max(F.size(v)), F.lit(0)).cast("long").alias("n_columns"),
         total(count(lambda x: x.isNull() | F.isnan(x))).alias("missing"),
         total(count(lambda x: ~vec.is_finite(x))).alias("nonfinite"),
-        total((vec.complete(v) & ~(vec.norm(v) > vec.ZERO)).cast("int")).alias("zero_norm"),
+        total((vec.norm(F.transform(v, lambda x: F.when(vec.is_finite(x), x).otherwise(0.0))) <= vec.ZERO).cast("int")).alias("zero_norm"),
         total(vec.valid(v).cast("int")).alias("valid"),
     )
 
 
-def spherical_prototype(df: DataFrame, by: list[str], vector: str = "embedding", weight: Column | None = None) -> DataFrame:
+def spherical_prototype(df: DataFrame, by: list[str], vector: str = "embedding", weight: Column | None = None, strict: bool = False) -> DataFrame:
     """by, n, resultant and prototype: the unit vector of the (weighted) mean of unit vectors.
 
-    Bands are summed in 64 columns of one partial aggregate: no row is unfolded by band.
+    Bands are summed in 64 columns of one partial aggregate: no row is unfolded by band. Rows that are not
+    valid are left out; strict: they are an error.
     """
+    if strict:
+        df = df.where(F.when(~vec.valid(F.col(vector)), F.raise_error(F.lit("vectors have to be finite and not zero"))).isNull())
     w = weight if weight is not None else F.lit(1.0)
     unit = df.where(vec.valid(F.col(vector))).select(*by, vec.l2_normalize(F.col(vector)).alias("__u"), w.cast("double").alias("__w"))
     sums = unit.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("__w").alias("__sw"), *[F.sum(F.col("__u")[b] * F.col("__w")).alias(f"__s{b}") for b in range(vec.BANDS)])
@@ -75,6 +78,38 @@ def polygon_prototypes(df: DataFrame, polygon: str = "polygon_id", vector: str =
     return tops.join(spread, cond, "left").select(*by, "n_expected", "n_valid", "prototype_valid", "resultant_length", "mean_cosine", "p10_cosine", "mean_angle", "prototype")
 
 
+def prototype_rows(df: DataFrame, key: str = "sample_id", label: str = "label") -> DataFrame:
+    """The rows that prototypes are made of: those of label 1 where there is such a column; a repeated id is an error."""
+    out = df.where(F.col(label).try_cast("double") == 1.0) if label in df.columns else df
+    twice = out.groupBy(key).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{key} repeats: {twice[0][0]}")
+    return out
+
+
+def anchors(df: DataFrame, polygon: str = "polygon_id", key: str = "sample_id", order: str | None = None) -> DataFrame:
+    """One row of each polygon: one flagged as anchor first, else the first by input order (the `order` column, or the id);
+    without flags the first by rank, and without ranks by id. A polygon's own tile goes before its row's."""
+    given = F.col(order) if order else F.col(key)
+    if "is_anchor" in df.columns:
+        by = [F.when(F.lower(F.col("is_anchor").cast("string")).isin("true", "1", "yes"), 0).otherwise(1), given]
+    elif "point_rank" in df.columns:
+        by = [F.col("point_rank"), F.col(key)]
+    else:
+        by = [F.col(key)]
+    first = df.withColumn("__r", F.row_number().over(Window.partitionBy(polygon).orderBy(*by, F.xxhash64(*df.columns)))).where("__r = 1").drop("__r")
+    if "polygon_tile_id" in df.columns:
+        first = first.withColumn("tile_id", F.coalesce("polygon_tile_id", "tile_id") if "tile_id" in df.columns else F.col("polygon_tile_id"))
+    return first
+
+
+def polygon_table(prototypes: DataFrame, anchor_rows: DataFrame, years: list[int], polygon: str = "polygon_id", year: str = "year") -> DataFrame:
+    """One row of each polygon: its anchor's columns, n_points_polygon, and whether every year asked for has a valid prototype."""
+    ok = F.countDistinct(F.when(F.col("prototype_valid") & F.col(year).isin(years), F.col(year))) == len(set(years))
+    one = prototypes.groupBy(polygon).agg(F.max("n_expected").alias("n_points_polygon"), ok.alias("complete_all_requested_years"))
+    return one.join(anchor_rows, polygon, "left")
+
+
 def fuse_years(df: DataFrame, key: str = "sample_id", year: str = "year", vector: str = "embedding", mode: str = "temporal_stats") -> DataFrame:
     """One row per id over its ordered years: concat, or per band mean, population std, last - first and slope."""
     series = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(year), F.col(vector).alias("v")))), lambda s: s["v"]).alias("__s"))

@@ -110,12 +110,47 @@ TILE_ID = r"(?i)(?<![A-Z0-9])T?((?:0[1-9]|[1-5][0-9]|60)[C-HJ-NP-X][A-HJ-NP-Z]{2
 YEAR = r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"
 
 
-def inventory(headers: DataFrame) -> DataFrame:
-    """headers (path, width, height, resolution) with tile (first id in the path), year (null unless the path has one
-    distinct year), footprint_class and resolution_class."""
-    years = F.array_distinct(F.regexp_extract_all("path", F.lit(YEAR), 1))
-    tile = F.nullif(F.upper(F.regexp_extract("path", TILE_ID, 1)), F.lit(""))
-    size = F.struct("width", "height")
-    foot = F.when(tile.isNull(), "other").when(size == F.struct(F.lit(10980).alias("width"), F.lit(10980).alias("height")), "full_mgrs").otherwise("mgrs_subset/reference")
-    res = F.when(F.abs(F.col("resolution") - 10) < 1e-6, "10m_native").when(F.abs(F.col("resolution") - 30) < 1e-6, "30m_derivative_not_native_10m").otherwise("other")
-    return headers.withColumn("tile", tile).withColumn("year", F.when(F.size(years) == 1, years[0].cast("int"))).withColumn("footprint_class", foot).withColumn("resolution_class", res)
+def inventory(headers: DataFrame, index: DataFrame) -> DataFrame:
+    """One row per raster and year, with what its header and names say of its grid.
+
+    headers: path, format (zarr or geotiff), band_count, grid_tag, tile_tag, year_tag, years (of a zarr's time axis),
+    epsg, a, b, c, d, e, f (its transform), width, height. index: tile, epsg, x0, y0, width, height of whole tiles (10 m).
+    Rasters of another number of bands are left out. A tile id is looked for in the grid id, the tile id, the file's
+    and the folder's name, in this order. A raster is a whole tile only where system, transform and size are the index's.
+    """
+    parts = F.split("path", "/")
+    folder = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
+    stem = F.regexp_replace(F.element_at(parts, -1), r"(.)\.[^.]*$", "$1")
+    is_zarr = F.col("format") == "zarr"
+    fallback = F.when(is_zarr, stem).otherwise(folder)
+    rows = headers.where(F.col("band_count") == vec.BANDS).withColumns({
+        "grid_id": F.coalesce("grid_tag", "tile_tag", fallback),
+        "tile_id": F.coalesce("tile_tag", F.when(is_zarr, fallback).otherwise(F.coalesce("grid_tag", fallback))),
+        "__origin": F.when(F.col("grid_tag").isNotNull(), "grid_id").when(F.col("tile_tag").isNotNull(), "tile_id").when(is_zarr, "filename").otherwise("parent_directory"),
+    })
+    told = F.array(*[F.struct(o.alias("from"), v.alias("text")) for o, v in ((F.col("__origin"), F.col("grid_id")), (F.lit("tile_id"), F.col("tile_id")), (F.lit("filename"), stem), (F.lit("parent_directory"), folder))])
+    first = F.try_element_at(F.filter(told, lambda t: t["text"].rlike(TILE_ID)), F.lit(1))
+    named = F.array_distinct(F.regexp_extract_all(stem, F.lit(YEAR), 1))
+    n_named = F.size(F.regexp_extract_all(stem, F.lit(YEAR), 1))
+    tag = F.col("year_tag").cast("string")
+    one = lambda y, how: F.array(F.struct(y.cast("int").alias("year"), F.lit(how).alias("year_evidence")))
+    by_header = F.when(tag.rlike("^(19|20)[0-9]{2}$"), one(tag.try_cast("int"), "tiff_year_tag")).when(tag.isNull() & (n_named == 1), one(named[0], "annual_filename")).otherwise(one(F.lit(None), "unknown"))
+    by_axis = F.when(F.size(F.coalesce("years", F.array())) > 0, F.transform("years", lambda y: F.struct(y.cast("int").alias("year"), F.lit("zarr_time").alias("year_evidence")))).otherwise(one(F.lit(None), "unknown"))
+    rows = rows.withColumn("__t", first).withColumn("__y", F.when(is_zarr, by_axis).otherwise(by_header))
+    exact = F.col("__t.text").rlike(f"^(?:{TILE_ID})$")
+    rows = rows.withColumns({"mgrs_candidate": F.upper(F.regexp_extract("__t.text", TILE_ID, 1)), "mgrs_candidate_evidence": F.concat("__t.from", F.when(exact, ":exact").otherwise(":derived_name"))})
+    side = {"__ix": "x0", "__iy": "y0", "__iw": "width", "__ih": "height", "__ie": "epsg"}
+    known = index.select(F.upper("tile").alias("mgrs_candidate"), *[F.col(c).alias(n) for n, c in side.items()])
+    met = rows.join(known, "mgrs_candidate", "left")
+    near = lambda u, v: F.abs(u - v) <= 1e-6
+    c = F.col
+    same = (c("epsg") == c("__ie")) & (c("width") == c("__iw")) & (c("height") == c("__ih")) & near(c("a"), F.lit(10.0)) & near(c("b"), F.lit(0.0)) & near(c("c"), c("__ix")) & near(c("d"), F.lit(0.0)) & near(c("e"), F.lit(-10.0)) & near(c("f"), c("__iy"))
+    whole = F.coalesce(same, F.lit(False))
+    metres = F.coalesce(c("epsg").between(32601, 32660) | c("epsg").between(32701, 32760), F.lit(False))
+    size = lambda m: near(F.hypot("a", "d"), F.lit(float(m))) & near(F.hypot("b", "e"), F.lit(float(m)))
+    resolution = F.when(metres & size(10), "10m_grid_not_native_verified").when(metres & size(30), "30m_derivative_not_native_10m").otherwise("other_or_unknown")
+    footprint = F.when(whole, "full_mgrs").when(c("mgrs_candidate").isNotNull(), "mgrs_subset/reference").otherwise("other")
+    out = met.withColumns({"mgrs_geometry_match": whole, "footprint_class": footprint, "resolution_class": resolution, "resolution_x": F.hypot("a", "d"), "resolution_y": F.hypot("b", "e")})
+    kept = [x for x in headers.columns if x not in ("grid_tag", "tile_tag", "year_tag", "years")]
+    out = out.select(*kept, "grid_id", "tile_id", F.explode("__y").alias("__one"), "mgrs_candidate", "mgrs_candidate_evidence", "mgrs_geometry_match", "footprint_class", "resolution_class", "resolution_x", "resolution_y")
+    return out.select("*", "__one.year", "__one.year_evidence").drop("__one")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlark.functions import grid, vec
 
+#: Fixed value: columns that a preflight report counts by.
 GROUP_FIELDS = ("split", "label", "species", "mgrs_tile", "grid_id", "tile_id")
 
 
@@ -24,19 +25,61 @@ def duplicate_coordinates(df: DataFrame, lon: str = "lon", lat: str = "lat") ->
 
 
 def preflight(df: DataFrame, years: list[int], chunk_size: int = 10_000) -> DataFrame:
-    """One row of counts: rows, empty ids, bad coordinates, duplicates, chunks, features."""
+    """One row of counts: rows, empty ids, bad coordinates, duplicates, chunks, features.
+
+    One scan: every row gives its id and its coordinates as keys of one aggregation, which is added up.
+    """
     years = grid.years_argument(years)
     lon, lat = F.col("lon"), F.col("lat")
-    bad = ~(vec.is_finite(lon) & vec.is_finite(lat))
-    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(True)).cast("int")), F.lit(0)).cast("long")
-    one = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        n(F.coalesce(F.trim(F.col("sample_id").cast("string")), F.lit("")) == "").alias("empty_ids"),
-        n(bad).alias("nonfinite"),
-        n(~bad & ~grid.in_range(lon, lat)).alias("outside"),
+    name = F.trim(F.col("sample_id").cast("string"))
+    finite = F.coalesce(vec.is_finite(lon) & vec.is_finite(lat), F.lit(False))
+    inside = F.coalesce(grid.in_range(lon, lat), F.lit(False))
+    flag = lambda c: F.coalesce(c, F.lit(True)).cast("int")
+    plain = lambda c: (c.cast("double") + F.lit(0.0)).cast("string")  # noqa: E731  (minus zero is zero)
+    blank = F.coalesce(name, F.lit("")) == ""
+    keys = F.array(
+        F.struct(F.lit("i").alias("t"), F.when(~blank, F.col("sample_id").cast("string")).alias("k"), F.lit(1).alias("r"), flag(blank).alias("e"), flag(~finite).alias("f"), flag(finite & ~inside).alias("o")),
+        F.struct(F.lit("c").alias("t"), F.when(inside, F.concat_ws(" ", plain(lon), plain(lat))).alias("k"), F.lit(0).alias("r"), F.lit(0).alias("e"), F.lit(0).alias("f"), F.lit(0).alias("o")),
     )
-    one = one.withColumn("n_chunks", F.ceil(F.col("n_rows") / chunk_size).cast("long")).withColumn("n_features", F.lit(len(years) * vec.BANDS))
-    return one.crossJoin(duplicate_ids(df)).crossJoin(duplicate_coordinates(df))  # three one-row results side by side
+    n = df.select(F.explode(keys).alias("x")).groupBy("x.t", "x.k").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x.{c}").alias(c) for c in "refo"])
+    twice = lambda t: F.col("k").isNotNull() & (F.col("n") > 1) & (F.col("t") == t)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    one = n.agg(
+        total("r").alias("n_rows"), total("e").alias("empty_ids"), total("f").alias("nonfinite"), total("o").alias("outside"),
+        F.count_if(twice("i")).alias("duplicate_groups"), total(F.when(twice("i"), F.col("n"))).alias("duplicate_rows"),
+        F.count_if(twice("c")).alias("coordinate_groups"), total(F.when(twice("c"), F.col("n"))).alias("coordinate_rows"),
+    )
+    return one.select("n_rows", "empty_ids", "nonfinite", "outside", F.ceil(F.col("n_rows") / chunk_size).cast("long").alias("n_chunks"), F.lit(len(years) * vec.BANDS).alias("n_features"), "duplicate_groups", "duplicate_rows", "coordinate_groups", "coordinate_rows")
+
+
+def preflight_report(df: DataFrame, years: list[int], chunk_size: int = 10_000, most: int = 100) -> DataFrame:
+    """One row: the counts of preflight, errors, warnings, group counts and the verdict.
+
+    A table without one of the three columns, an empty one, and years out of range are errors of the report, not of the call.
+    """
+    missing = sorted({"sample_id", "lon", "lat"} - set(df.columns))
+    wanted = sorted({int(y) for y in years})
+    outside = [y for y in wanted if not grid.FIRST_YEAR <= y <= grid.LAST_YEAR]
+    fixed = [f"missing required columns: {missing}"] * bool(missing) + ["chunk_size must be positive"] * (chunk_size <= 0) + ["at least one year is required"] * (not wanted) + [f"years outside {grid.FIRST_YEAR}-{grid.LAST_YEAR}: {outside}"] * bool(outside)
+    counted = df
+    for c, kind in (("sample_id", "string"), ("lon", "double"), ("lat", "double")):
+        counted = counted.withColumn(c, F.col(c).try_cast(kind) if c in df.columns else F.lit(None).cast(kind))
+    counted = counted.withColumn("sample_id", F.trim("sample_id"))
+    one = preflight(counted, [grid.LAST_YEAR], max(1, chunk_size)).withColumn("n_features", F.lit(len(wanted) * vec.BANDS))
+    c = F.col
+    count = lambda name, text: F.when(c(name) > 0, F.concat(F.lit(text + ": "), c(name).cast("string")))
+    rows = [] if missing else [count("empty_ids", "empty sample_id rows"), count("duplicate_rows", "rows with duplicated sample_id"), count("nonfinite", "rows with non-finite lon/lat"), count("outside", "rows outside lon [-180,180] or lat [-90,90]")]
+    errors = F.array(*[F.lit(t) for t in fixed], F.when(c("n_rows") == 0, F.lit("point table is empty")), *rows)
+    shared = F.when(c("coordinate_rows") > 0, F.concat(c("coordinate_rows").cast("string"), F.lit(" rows share coordinates in "), c("coordinate_groups").cast("string"), F.lit(" groups")))
+    warnings = F.array(F.lit(None).cast("string"), *([] if missing else [shared]))
+    kept = lambda a: F.filter(a, lambda x: x.isNotNull())
+    out = one.withColumn("errors", kept(errors)).withColumn("warnings", kept(warnings)).withColumn("valid", F.size("errors") == 0)
+    fields = [f for f in GROUP_FIELDS if f in df.columns]
+    if not fields:
+        return out.withColumn("group_counts", F.create_map().cast("map<string,map<string,bigint>>"))
+    groups = group_counts(df, fields, most).groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("m"))
+    groups = groups.agg(F.map_from_entries(F.collect_list(F.struct("field", "m"))).alias("group_counts"))  # `most` values of a few fields
+    return out.withColumn("group_counts", groups.scalar())
 
 
 def group_counts(df: DataFrame, fields: list[str] | None = None, most: int = 100) -> DataFrame:
@@ -48,19 +91,22 @@ def group_counts(df: DataFrame, fields: list[str] | None = None, most: int = 100
     return n.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def assign_chunks(df: DataFrame, order: str, size: int, key: str = "sample_id") -> DataFrame:
-    """key, order and chunk (from 1) by ordinal in input order.
+def assign_chunks(df: DataFrame, order: str, size: int, key: str = "sample_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, order, the columns to carry, and chunk (from 1) by ordinal in input order, ties by key and then by content.
 
-    Ordinals come from range partitions and their sizes, not from one sorted task.
+    Ordinals come from range partitions and their sizes, not from one sorted task. Rows keep
+    their chunk with them, so repeated ones need no join back.
     """
-    dealt = df.select(key, order).repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
+    columns = list(dict.fromkeys([key, order, *carry]))
+    ties = [order, key, F.xxhash64(*columns)]
+    dealt = df.select(*columns).repartitionByRange(order, key).sortWithinPartitions(*ties).withColumn("__p", F.spark_partition_id())
     from gridlark.runtime import materialize
 
     dealt = materialize(dealt)
     before = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__n"))  # one row per partition
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(order))
-    return dealt.withColumn("__i", within).join(F.broadcast(before), "__p").select(key, order, (F.floor((F.col("__n") + F.col("__i") - 1) / size) + 1).cast("long").alias("chunk"))
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(*ties))
+    return dealt.withColumn("__i", within).join(F.broadcast(before), "__p").select(*columns, (F.floor((F.col("__n") + F.col("__i") - 1) / size) + 1).cast("long").alias("chunk"))
 
 
 def merge_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.functions import vec
-from gridlark.operators import points
+from gridlark.operators import points, ranks
 
 
 def shards(df: DataFrame, order: str, size: int, key: str = "sample_id", vector: str = "embedding") -> DataFrame:
     """df with chunk (from 1, by ordinal in input order) and complete (all bands present)."""
-    chunks = points.assign_chunks(df, order, size, key)
-    return df.join(chunks.select(key, order, "chunk"), [key, order]).withColumn("complete", vec.present(F.col(vector)))
+    return points.assign_chunks(df, order, size, key, tuple(df.columns)).withColumn("complete", vec.present(F.col(vector)))
 
 
 def shard_catalog(shards: DataFrame) -> DataFrame:
@@ -77,18 +76,24 @@ def identify(df: DataFrame, order: str, id_field: str | None = None) -> DataFram
     if id_field or "sample_id" in df.columns:
         out = df.withColumn("sample_id", F.trim(F.col(id_field or "sample_id").cast("string")))
         return out.withColumn("sample_id", F.when(F.coalesce(F.col("sample_id"), F.lit("")) == "", F.raise_error(F.lit("empty id"))).otherwise(F.col("sample_id")))
-    ranked = points.assign_chunks(df, order, 1, order).select(order, F.col("chunk").alias("__n"))
-    return df.join(ranked, order).withColumn("sample_id", F.concat(F.lit("feature_"), F.lpad(F.col("__n").cast("string"), 8, "0"))).drop("__n")
+    ranked = points.assign_chunks(df, order, 1, order, tuple(df.columns))
+    return ranked.withColumn("sample_id", F.concat(F.lit("feature_"), padded(F.col("chunk"), 8))).select("sample_id", *df.columns)
+
+
+def padded(n: Column, width: int) -> Column:
+    """A whole number with leading zeros; longer ones keep their digits."""
+    text = n.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
 
 
 def pixel_ids(df: DataFrame, polygon: str = "polygon_id", rank: str = "point_rank") -> DataFrame:
     """df with sample_id of the form polygon_px01; ranks above 99 keep their digits."""
-    n = F.col(rank).cast("string")
-    return df.withColumn("sample_id", F.concat(F.col(polygon).cast("string"), F.lit("_px"), F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n)))
+    return df.withColumn("sample_id", F.concat(F.col(polygon).cast("string"), F.lit("_px"), padded(F.col(rank), 2)))
 
 
 def describe_groups(df: DataFrame, by: str) -> DataFrame:
     """One row about the sizes of groups: number, mean, sample deviation, extremes and quartiles."""
     n = df.groupBy(by).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    p = lambda q: F.percentile("n", q)
-    return n.agg(F.count("n").alias("groups"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("min"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"), F.max("n").alias("max"))
+    one = n.agg(F.count("n").alias("groups"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), F.min("n").alias("min"), F.max("n").alias("max"))
+    shares = ranks.percentiles(n, [], "n", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return ranks.joined(one, shares, []).select("groups", "mean", "std", "min", "p25", "p50", "p75", "max")

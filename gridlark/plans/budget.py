@@ -27,6 +27,14 @@ def grid_peak(block: int, workers: int, in_flight: int) -> int:
     return BASE + workers * max(GRID_LEAST, int(GRID_COPIES * raw)) + in_flight * raw
 
 
+def grid_peaks(block, workers: int, in_flight: int):
+    """grid_peak as a column of whole numbers, for tables of plans."""
+    from pyspark.sql import functions as F
+
+    raw = block.cast("long") * block.cast("long") * 256
+    return F.lit(BASE) + workers * F.greatest(F.lit(GRID_LEAST), F.floor(F.lit(GRID_COPIES) * raw)) + in_flight * raw
+
+
 def point_peak(chunk: int, years: int, workers: int) -> int:
     """Peak bytes of point chunks, 64 doubles a point and year."""
     return BASE + workers * max(POINT_LEAST, POINT_COPIES * chunk * max(1, years) * 512)

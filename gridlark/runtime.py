@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -11,12 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one machine's processes."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started from."""
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    """Let Python workers import this package: from its folder where they have it, else from an archive that Spark sends them."""
+    sc = spark.sparkContext
+    parts = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT in parts:
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    if not is_local(spark):
+        base = str(Path(tempfile.mkdtemp(prefix="gridlark-")) / "gridlark")  # the driver's own copy, served by Spark
+        sc.addPyFile(shutil.make_archive(base, "zip", ROOT, "gridlark"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +37,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all nodes share: spark.checkpoint.dir as the cluster names it.
 
-    Only where that is unset (local tests) a temporary folder of the driver is used.
+    Where that is unset, a temporary folder of the driver is used on a local master; on any other that is an error.
     """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridlark-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if named is None and not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridlark-"))
+    return named or sc.getCheckpointDir()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote, on whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -205,31 +205,119 @@ def read_features(spark: SparkSession, path: str, layer: str | None = None) -> D
     return one.mapInPandas(run_shp, SCHEMA)
 
 
-def to_points(features: DataFrame, mode: str = "representative", id_field: str | None = None) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows of GeoJSON files: points, several points, polygons and several polygons; other types are an error.
+
+    A text's `crs` member names the system, degrees without one. A file is one row of text.
+    """
+    schema = "crs struct<properties: struct<name: string>>, features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
+    d = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
+    name = F.coalesce("d.crs.properties.name", F.lit("CRS84"))
+    code = F.when(F.upper(name).endswith("CRS84"), F.lit(4326)).otherwise(F.regexp_extract(name, r"(?i)epsg:+(?:[0-9.]*:)?([0-9]+)$", 1).try_cast("int"))
+    f = d.select(code.alias("epsg"), F.posexplode("d.features").alias("k", "f"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    nested = lambda levels, wrap: F.from_json(F.concat(F.lit("[" * wrap), text, F.lit("]" * wrap)), "array<" * levels + "double" + ">" * levels)
+    point = lambda c: F.struct(F.get(c, 0).alias("x"), F.get(c, 1).alias("y"))
+    odd = kind.isNotNull() & ~kind.isin("Point", "MultiPoint", "Polygon", "MultiPolygon")
+    spots = F.when(kind == "Point", nested(2, 1)).when(kind == "MultiPoint", nested(2, 0))
+    shapes = F.when(kind == "Polygon", nested(4, 1)).when(kind == "MultiPolygon", nested(4, 0))
+
+    def turned(ring, i):
+        bare = F.transform(ring, point)
+        bare = F.when(F.element_at(bare, 1) == F.element_at(bare, -1), F.slice(bare, F.lit(1), F.size(bare) - 1)).otherwise(bare)
+        return F.when((geometry.signed_area(bare) > 0) == (i == 0), bare).otherwise(F.reverse(bare))
+
+    empty = F.array().cast("array<array<double>>")
+    solid = F.filter(F.coalesce(spots, empty), lambda c: F.size(c) > 1)
+    rings = F.flatten(F.transform(F.coalesce(shapes, F.array().cast("array<array<array<array<double>>>>")), lambda s: F.transform(s, turned)))
+    return f.select((F.col("k") + 1).cast("long").alias("feature"), F.coalesce("f.properties", F.create_map().cast("map<string,string>")).alias("properties"), kind.alias("kind"), F.when(odd, F.raise_error(F.concat(F.lit("unsupported geometry: "), kind))).otherwise(F.transform(solid, point)).alias("points"), rings.alias("rings"), "epsg")
+
+
+def from_wkb(df: DataFrame, column: str = "geometry", epsg: int | None = 4326) -> DataFrame:
+    """The same rows of a table with WKB geometries; its other columns are the properties. Features are numbered in no order of theirs."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf(f"kind string, points array<{XY}>, rings array<array<{XY}>>")
+    def parse(blobs: pd.Series) -> pd.DataFrame:
+        shapes = [(None, [], []) if b is None else parse_wkb(bytes(b)) for b in blobs]
+        xy = lambda line: [{"x": p[0], "y": p[1]} for p in line]
+        return pd.DataFrame({"kind": [s[0] for s in shapes], "points": [xy(s[1]) for s in shapes], "rings": [[xy(r) for r in s[2]] for s in shapes]})
+
+    others = [c for c in df.columns if c != column]
+    props = F.map_from_arrays(F.array(*map(F.lit, others)), F.array(*[F.col(c).cast("string") for c in others])) if others else F.create_map().cast("map<string,string>")
+    out = df.select((F.monotonically_increasing_id() + 1).alias("feature"), props.alias("properties"), parse(column).alias("g"))
+    return out.select("feature", "properties", "g.kind", "g.points", "g.rings", F.lit(epsg).cast("int").alias("epsg"))
+
+
+def _moved(ring, code, target: int):
+    """A ring in the target system, from degrees or UTM: by way of degrees, point by point."""
+    known = code.between(32601, 32660) | code.between(32701, 32760)
+
+    def degrees(p):
+        lon, lat = crs.utm_inverse(p["x"], p["y"], code % 100, code >= 32700)
+        return F.named_struct(F.lit("x"), F.when(code == 4326, p["x"]).when(known, lon), F.lit("y"), F.when(code == 4326, p["y"]).when(known, lat))
+
+    def metres(p):
+        x, y = crs.utm(p["x"], p["y"], F.lit(target % 100), F.lit(target >= 32700))
+        return F.named_struct(F.lit("x"), x, F.lit("y"), y)
+
+    return F.when(code == target, ring).otherwise(F.transform(F.transform(ring, degrees), metres))
+
+
+def interior_points(features: DataFrame, reference: dict) -> DataFrame:
+    """features' rows with x and y (in the reference's system) of each pixel centre strictly inside, and k, its place (row-major, from 1).
+
+    reference: epsg (UTM), x0, y0 (top left corner), width, height of a north-up 10 m grid.
+    """
+    target, x0, y0 = int(reference["epsg"]), float(reference["x0"]), float(reference["y0"])
+    moved = features.where(F.size("rings") > 0).withColumn("__r", F.transform("rings", lambda r: _moved(r, F.col("epsg"), target)))
+    flat = lambda axis: F.flatten(F.transform("__r", lambda r: F.transform(r, lambda p: p[axis])))
+    ends = moved.select("feature", F.array_min(flat("x")).alias("w"), F.array_max(flat("x")).alias("e"), F.array_min(flat("y")).alias("s"), F.array_max(flat("y")).alias("n"))
+    span = lambda low, high, most: F.sequence(F.greatest(F.lit(0), F.floor(low / 10)).cast("long"), F.least(F.lit(int(most) - 1), F.floor(high / 10)).cast("long"))
+    inside = ends.where((F.col("e") > x0) & (F.col("w") < x0 + 10 * int(reference["width"])) & (F.col("n") > y0 - 10 * int(reference["height"])) & (F.col("s") < y0))
+    cells = inside.withColumn("row", F.explode(span(y0 - F.col("n"), y0 - F.col("s"), reference["height"]))).withColumn("col", F.explode(span(F.col("w") - x0, F.col("e") - x0, reference["width"]))).select("feature", "row", "col")
+    x, y = F.lit(x0) + (F.col("col") + 0.5) * 10, F.lit(y0) - (F.col("row") + 0.5) * 10
+    met = cells.withColumn("x", x).withColumn("y", y).join(moved.select("feature", "__r"), "feature").where(geometry.rings_contain(F.col("__r"), F.col("x"), F.col("y")))
+    from pyspark.sql import Window
+
+    numbered = met.select("feature", "x", "y", F.row_number().over(Window.partitionBy("feature").orderBy("row", "col")).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("feature")).alias("n"))
+    return features.join(numbered, "feature")
+
+
+def to_points(features: DataFrame, mode: str = "auto", id_field: str | None = None, reference: dict | None = None) -> DataFrame:
     """sample_id, lon, lat, source_feature_id, source_geometry_type, point_method and properties.
 
-    Points are themselves and several points several rows; polygons give their centroid or a point inside
-    (representative). Null and empty shapes give no row. Systems other than WGS84 degrees and UTM are an error.
+    Points are themselves and several points several rows, numbered; polygons give their centroid, a point inside (auto and
+    representative) or all pixel centres of the reference grid inside (interior_pixels). Null and empty shapes give no row.
+    Systems other than WGS84 degrees and UTM are an error.
     """
-    if mode not in ("representative", "centroid"):
-        raise ValueError("mode has to be representative or centroid")
-    ids = F.col("properties").getItem(id_field or "sample_id")
-    base = F.coalesce(ids, F.concat(F.lit("feature_"), F.lpad(F.col("feature").cast("string"), 8, "0")))
-    base = F.when(F.trim(base) == "", F.raise_error(F.lit("empty id"))).otherwise(base)
-    if id_field:
-        base = F.when(ids.isNull(), F.raise_error(F.lit("empty id"))).otherwise(base)
-    area = geometry.rings_representative(F.col("rings")) if mode == "representative" else geometry.rings_centroid(F.col("rings"))
+    if mode not in ("auto", "representative", "centroid", "interior_pixels"):
+        raise ValueError("mode has to be auto, representative, centroid or interior_pixels")
+    if mode == "interior_pixels" and reference is None:
+        raise ValueError("interior_pixels needs a reference grid")
+    from gridlark.operators.store import padded
+
+    field = id_field or "sample_id"
+    ids = F.trim(F.try_element_at("properties", F.lit(field)))
+    absent = ids.isNull() if id_field else F.lit(False)
+    base = F.when(absent | (ids == ""), F.raise_error(F.lit("empty id"))).otherwise(F.coalesce(ids, F.concat(F.lit("feature_"), padded(F.col("feature"), 8))))
+    area = geometry.rings_centroid(F.col("rings")) if mode == "centroid" else geometry.rings_representative(F.col("rings"))
     has_rings = F.size("rings") > 0
+    kept = ["feature", "kind", "properties", "epsg"]
+    rows = features.where(~has_rings) if mode == "interior_pixels" else features
     spots = F.when(has_rings, F.array(area)).otherwise(F.col("points"))
-    method = F.when(has_rings, "representative_point" if mode == "representative" else "centroid").otherwise("source_point")
-    out = features.select(base.alias("source_feature_id"), F.col("kind").alias("source_geometry_type"), method.alias("point_method"), "properties", "epsg", F.size(spots).alias("__n"), F.posexplode(spots).alias("__k", "p"))
-    out = out.where(F.col("p").isNotNull())
+    method = F.when(has_rings, "centroid" if mode == "centroid" else "representative_point").otherwise("source_point")
+    out = rows.select(*kept, method.alias("point_method"), F.size(spots).alias("__n"), F.posexplode(spots).alias("__k", "__p")).where(F.col("__p").isNotNull())
+    out = out.select(*kept, "point_method", "__n", (F.col("__k") + 1).alias("__k"), F.col("__p.x").alias("__x"), F.col("__p.y").alias("__y"))
+    if mode == "interior_pixels":
+        pixels = interior_points(features, reference).select("feature", "kind", "properties", F.lit(int(reference["epsg"])).alias("epsg"), F.lit("interior_pixel").alias("point_method"), F.col("n").cast("int").alias("__n"), F.col("k").alias("__k"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+        out = out.unionByName(pixels)
     known = F.col("epsg").between(32601, 32660) | F.col("epsg").between(32701, 32760)
-    lon, lat = crs.utm_inverse(F.col("p.x"), F.col("p.y"), F.col("epsg") % 100, F.col("epsg") >= 32700)
+    lon, lat = crs.utm_inverse(F.col("__x"), F.col("__y"), F.col("epsg") % 100, F.col("epsg") >= 32700)
     plain = F.coalesce(F.col("epsg") == 4326, F.lit(False))
     bad = F.raise_error(F.lit("unsupported coordinate system"))
-    name = F.when(F.col("__n") > 1, F.concat("source_feature_id", F.lit("_"), (F.col("__k") + 1).cast("string"))).otherwise(F.col("source_feature_id"))
+    name = F.when(F.col("__n") > 1, F.concat(base, F.lit("__px"), padded(F.col("__k"), 6))).otherwise(base)
     return out.select(
-        name.alias("sample_id"), F.when(plain, F.col("p.x")).when(known, lon).otherwise(bad).alias("lon"), F.when(plain, F.col("p.y")).when(known, lat).otherwise(bad).alias("lat"),
-        "source_feature_id", "source_geometry_type", "point_method", "properties",
+        name.alias("sample_id"), F.when(plain, F.col("__x")).when(known, lon).otherwise(bad).alias("lon"), F.when(plain, F.col("__y")).when(known, lat).otherwise(bad).alias("lat"),
+        (F.col("feature") - 1).cast("string").alias("source_feature_id"), F.col("kind").alias("source_geometry_type"), "point_method", "properties",
     )

@@ -7,7 +7,8 @@ import os
 import duckdb
 import pytest
 
-import gridlark.catalogue_deliveries  # noqa: F401  (registers its queries)
+import gridlark.catalogue_collections  # noqa: F401  (registers its queries)
+import gridlark.catalogue_deliveries  # noqa: F401
 from gridlark.catalogue import ORACLES, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -74,7 +74,7 @@ def test_compare_and_coverage(spark):
     b = spark.createDataFrame([(1, [0.0] * 64), (2, [0.0] * 64), (3, [2.0] + [1.0] * 63)], "k int, embedding array<float>")
     r = audit.compare(a, b, ["k"]).collect()[0]
     assert (r.n_vectors, r.n_complete, r.n_exact, r.mask_disagreements, r.max_difference) == (3, 2, 1, 64, 1)
-    assert one(spark, audit.redact(F.lit("x token=abc&b Bearer a.b-c")))[0] == "x token=<redacted>&b bearer <redacted>"
+    assert one(spark, audit.redact(F.lit("authorization: Bearer a.b-c; access_token: x")))[0] == "authorization: Bearer <redacted>; access_token: <redacted>"
 
 
 def test_merge_guards(spark):
@@ -83,6 +83,9 @@ def test_merge_guards(spark):
         points.merge_one_to_one(a, a, "k")
     chunks = points.assign_chunks(spark.range(1300).select(F.col("id").alias("sample_id"), F.col("id").alias("ord")), "ord", 333)
     assert sorted(r["count"] for r in chunks.groupBy("chunk").count().collect()) == [301, 333, 333, 333]
+    tied = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("b", 1, "y"), ("a", 0, "z")], "sample_id string, ord int, v string")
+    got = points.assign_chunks(tied, "ord", 2, carry=("v",))
+    assert sorted((r.v, r.chunk) for r in got.collect()) == [("x", 1), ("x", 2), ("y", 2), ("z", 1)]
 
 
 def test_readers(spark, tmp_path):
@@ -116,8 +119,9 @@ def test_geometry(spark):
     inside = lambda x, y: df.select(geometry.contains(F.col("ring"), F.lit(x), F.lit(y))).collect()[0][0]
     assert inside(1.0, 1.0) and inside(3.9, 3.9) and not inside(4.0, 2.0) and not inside(0.0, 0.0) and not inside(5.0, 1.0) and not inside(2.0, 4.0)
     assert geometry.interior_pixels(df, 0.0, 4.0, 2.0).count() == 4
-    xy = np.array([[0, 0], [1, 0], [10, 0], [10, 9], [0, 0]], float)
-    assert geometry.farthest(xy, 0, 10) == [0, 3, 2, 1]
+    spots = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (1, 0), (10, 0), (10, 9), (0, 0))])
+    assert one(spark, geometry.spread_out(spots, F.lit(10)))[0] == [0, 3, 2, 1]
+    assert one(spark, geometry.spread_out(F.slice(spots, 1, 0), F.lit(3)))[0] == []
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -55,16 +55,20 @@ def test_mgrs(spark, lon, lat, tile):
     assert df.columns == ["lon", "lat", "mgrs_tile"] and df.first().mgrs_tile == tile
 
 
-def test_inner_pole_and_lattice():
+def test_inner_pole_and_lattice(spark):
     square = np.array([[0, 0], [10, 0], [10, 10], [0, 10]], float)
     assert np.allclose(geometry.inner_pole(square), (5, 5), atol=0.02)
     ell = np.array([[0, 0], [20, 0], [20, 4], [4, 4], [4, 12], [0, 12]], float)
     pole = np.array([geometry.inner_pole(ell)])
     fine = np.stack(np.meshgrid(np.linspace(0, 20, 401), np.linspace(0, 12, 241)), -1).reshape(-1, 2)
     assert geometry._reach(ell, pole)[0] >= geometry._reach(ell, fine).max() - 0.02
-    got = geometry.lattice(ell, 30)
-    assert len(got) >= 30 and (geometry._reach(ell, got) >= 0).all()
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ell])
+    got = geometry.lattices(spark.range(1).select("id", ring.alias("ring")), "id", F.lit(30)).first().points
+    got = np.array([(p.x, p.y) for p in got])
+    assert len(got) >= 30 and (geometry._reach(ell, got) > 0).all()
     assert (np.lexsort((got[:, 1], got[:, 0])) == np.arange(len(got))).all()
+    thin = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (10, 10), (10, 10.01))])
+    assert geometry.lattices(spark.range(1).select("id", thin.alias("ring")), "id", F.lit(30)).count() == 1
 
 
 def test_sample_polygons(spark):
@@ -126,16 +130,20 @@ def test_wkb_points(spark):
         readers.wkb_points(spark.createDataFrame([(bytearray(struct.pack("<BII", 1, 3, 0)),)], "geometry binary")).collect()
 
 
-def test_read_areas():
+def test_read_areas(spark, tmp_path):
+    read = lambda doc: readers.parse_areas(spark.createDataFrame([(json.dumps(doc),)], "value string")).collect()
     ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
     hole = [[0.5, 0.1], [0.9, 0.1], [0.9, 0.2], [0.5, 0.1]]
     ok = {"type": "Feature", "properties": {"n": 1}, "geometry": {"type": "Polygon", "coordinates": [ring, hole]}}
-    (props, shapes), = readers.read_areas(json.dumps(ok))
-    assert props == {"n": 1} and [len(r) for r in shapes[0]] == [3, 3]
-    assert len(readers.read_areas(json.dumps({"type": "FeatureCollection", "features": [ok, ok]}))) == 2
-    for bad in ({"type": "Point", "coordinates": [0, 0]}, {"type": "Polygon", "coordinates": [ring[:-1]]}, {"type": "Polygon", "coordinates": [[[0, 0], [200, 0], [1, 1], [0, 0]]]}, {"type": "FeatureCollection", "features": []}, {"type": "Polygon", "coordinates": [ring], "crs": {"properties": {"name": "EPSG:3857"}}}):
-        with pytest.raises(ValueError):
-            readers.read_areas(json.dumps(bad))
+    (props, shapes), = read(ok)
+    assert props == {"n": "1"} and [len(r) for r in shapes[0]] == [3, 3]
+    assert len(read({"type": "FeatureCollection", "features": [ok, ok]})) == 2
+    assert len(read({"type": "MultiPolygon", "coordinates": [[ring], [hole]]})[0].polygons) == 2
+    (tmp_path / "a.geojson").write_text(json.dumps(ok))
+    assert readers.read_areas(spark, f"{tmp_path}/a.geojson").count() == 1
+    for bad in ({"type": "Point", "coordinates": [0, 0]}, {"type": "Polygon", "coordinates": [ring[:-1]]}, {"type": "Polygon", "coordinates": [[[0, 0], [200, 0], [1, 1], [0, 0]]]}, {"type": "FeatureCollection", "features": []}, {"type": "Polygon", "coordinates": []}, {"type": "Polygon", "coordinates": [[[0, 0], [1, "x"], [1, 1], [0, 0]]]}, {"type": "Polygon", "coordinates": [ring], "crs": {"properties": {"name": "EPSG:3857"}}}):
+        with pytest.raises(Exception, match="areas|polygons|ring|degrees"):
+            read(bad)
 
 
 def test_append_once(spark, tmp_path):

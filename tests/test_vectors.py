@@ -78,8 +78,8 @@ def test_geopackage(spark, tmp_path):
     pts = vectors.to_points(got)
     assert pts.count() == 603 and pts.select("sample_id").distinct().count() == 603
     ids = [r.sample_id for r in pts.where("source_geometry_type = 'MultiPoint'").orderBy("sample_id").collect()]
-    assert ids == ["feature_00000002_1", "feature_00000002_2"]
-    last = pts.where("source_feature_id = 'feature_00000603'").first()
+    assert ids == ["feature_00000002__px000001", "feature_00000002__px000002"]
+    last = pts.where("sample_id = 'feature_00000603'").first()
     assert abs(last.lon + 81) < 1e-9 and abs(last.lat) < 1e-9
     inside = got.where("kind = 'Polygon'").withColumn("p", geometry.rings_representative(F.col("rings")))
     assert inside.where(geometry.rings_contain(F.col("rings"), F.col("p.x"), F.col("p.y"))).count() == 1
