@@ -16,9 +16,10 @@ similarity, between documents that can have it at all:
    of the similarity (1e-4 for sets of under ten shingles), less above it.
 4. Pairs that pass are verified on their whole sets, unless counts of their hashes in BINS bins
    already differ by more than such sets can. First every class is compared with the
-   head and its neighbour of each meeting and verified with its nearest of these, so large
-   groups of near copies fall together in linear time. Then all pairs of different
-   components so found are compared, in blocks. Links inside a component are not needed.
+   head of each meeting and with all others in it, and verified with its nearest of either
+   kind; then once more with its nearest of another component. So large groups of near
+   copies fall together by two pairs a class. Then all pairs of different components that
+   are left are compared, in blocks. Links inside a component are not needed.
 
 One row of each component stays: that with the smallest id (nulls last), of several such
 the one with the smallest digest of its text, and one of rows equal in both.
@@ -175,22 +176,60 @@ def _whole(frames: list[pd.DataFrame], work, names: list[str]):
     yield from work(pdf, np.concatenate([[0], np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1, [len(pdf)]]))
 
 
-def first_pairs(radius: int):
-    """Each class with the head of its meeting, and with its neighbour: pairs within the radius, with their distance."""
+def little_pairs(edges: np.ndarray, little: np.ndarray):
+    """Index pairs of all rows of the meetings flagged, a slice of them at a time; no row twice on one side of a slice."""
+    size = np.diff(edges)
+    end = np.where(np.repeat(little, size), np.repeat(edges[1:], size), 0)
+    at = np.arange(edges[-1])
+    for d in range(1, int(size[little].max(initial=0))):
+        i = at[at + d < end]
+        for s in range(0, len(i), 500_000):
+            yield i[s : s + 500_000], i[s : s + 500_000] + d
+
+
+def nearest_pairs(radius: int, heads: bool):
+    """Each class with the nearest one of another component in its meeting, within the radius; heads: also with the meeting's head.
+
+    Rows b, a, d, and kind: 0 for the nearest, 1 for the head.
+    """
 
     def work(pdf, edges):
-        node, n, fp = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
+        node, n, root, fp = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["root"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
+        best, arg = np.full(len(pdf), 255, dtype=np.int64), np.full(len(pdf), -1, dtype=np.int64)
         size = np.diff(edges)
-        head = np.repeat(edges[:-1], size)
-        at = np.nonzero(np.arange(len(pdf)) > head)[0]
-        i, j = np.concatenate([head[at], at - 1]), np.concatenate([at, at])
-        ok = alike_in_size(n[i], n[j])
-        i, j = i[ok], j[ok]
-        ok = within(fp[i], fp[j], radius)
-        i, j = i[ok], j[ok]
-        if len(i):
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            yield pd.DataFrame({"a": a, "b": b, "d": np.bitwise_count(fp[i] ^ fp[j]).astype(np.int32)}).drop_duplicates()
+        little = size <= TOGETHER
+
+        def alike(i, j):
+            ok = alike_in_size(n[i], n[j]) & (root[i] != root[j])
+            return i[ok], j[ok]
+
+        for i, j in little_pairs(edges, little):
+            i, j = alike(i, j)
+            ok = within(fp[i], fp[j], radius)
+            i, j = i[ok], j[ok]
+            d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
+            for x, y in ((i, j), (j, i)):
+                better = d < best[x]
+                best[x[better]], arg[x[better]] = d[better], y[better]
+        for s, e in zip(edges[:-1][~little].tolist(), edges[1:][~little].tolist(), strict=True):
+            i, j = near(fp[s:e], fp[s:e], radius)
+            i, j = alike(i + s, j + s)
+            d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            first = np.append(True, i[1:] != i[:-1]) if len(i) else np.zeros(0, bool)
+            best[i[first]], arg[i[first]] = d[first], j[first]
+        k = np.nonzero(arg >= 0)[0]
+        out = [(node[k], node[arg[k]], best[k], np.zeros(len(k), dtype=np.int32))]
+        if heads:
+            head = np.repeat(edges[:-1], size)
+            i, j = alike(np.arange(len(pdf)), head)
+            ok = within(fp[i], fp[j], radius)
+            i, j = i[ok], j[ok]
+            out.append((node[i], node[j], np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64), np.ones(len(i), dtype=np.int32)))
+        b, a, d, kind = (np.concatenate(c) for c in zip(*out, strict=True))
+        if len(b):
+            yield pd.DataFrame({"b": b, "a": a, "d": d.astype(np.int32), "kind": kind}).drop_duplicates()
 
     return work
 
@@ -206,18 +245,13 @@ def cross_pairs(radius: int):
         def listed(i, j):
             return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
 
-        size = np.diff(edges)
-        little = (size <= TOGETHER) & (lo[edges[:-1]] == hi[edges[:-1]])
-        end = np.where(np.repeat(little, size), np.repeat(edges[1:], size), 0)
-        at = np.arange(len(pdf))
-        for d in range(1, int(size[little].max(initial=0))):
-            i = at[at + d < end]
-            for s in range(0, len(i), 500_000):
-                p = i[s : s + 500_000]
-                p = p[(root[p] != root[p + d]) & alike_in_size(n[p], n[p + d])]
-                p = p[within(fp[p], fp[p + d], radius)]
-                if len(p):
-                    yield listed(p, p + d)
+        little = (np.diff(edges) <= TOGETHER) & (lo[edges[:-1]] == hi[edges[:-1]])
+        for i, j in little_pairs(edges, little):
+            ok = (root[i] != root[j]) & alike_in_size(n[i], n[j])
+            i, j = i[ok], j[ok]
+            ok = within(fp[i], fp[j], radius)
+            if ok.any():
+                yield listed(i[ok], j[ok])
         for s, e in zip(edges[:-1][~little].tolist(), edges[1:][~little].tolist(), strict=True):
             if (root[s:e] == root[s]).all():
                 continue
@@ -288,17 +322,33 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
     dealt = meet.withColumn("own", F.pmod(F.xxhash64("node"), cut).cast("int"))
     sorted_by = lambda df, *by: df.repartition(parallelism(spark), *by).sortWithinPartitions(*by, "n", "node")
 
-    pairs = sorted_by(dealt.select("key", "own", "node", "n", "fp"), "key", "own").mapInPandas(by_group(["key", "own"], first_pairs(radius)), "a long, b long, d int")
+    def joined_to(found: DataFrame | None) -> DataFrame:
+        """dealt with each class's component so far."""
+        if found is None:
+            return dealt.withColumn("root", F.col("node"))
+        met = dealt.join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+        return met.withColumn("root", F.coalesce("root", "node")).drop("__node")
+
+    def nearest(rows: DataFrame, heads: bool) -> DataFrame:
+        """One pair of each class with its nearest of another component, and one with a head."""
+        several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+        rows = rows.join(several, "key").select("key", "own", "node", "n", "fp", "root")
+        picked = sorted_by(rows, "key", "own").mapInPandas(by_group(["key", "own"], nearest_pairs(radius, heads)), "b long, a long, d int, kind int")
+        one = picked.groupBy("b", "kind").agg(F.min(F.struct("d", "a")).alias("x"))
+        return one.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")).distinct()
+
     heads = dealt.where(F.col("size") > block).groupBy("key", "own").agg(F.min(F.struct("node", "n", "fp")).alias("x"))
     hubs = heads.groupBy("key").agg(F.min("x").alias("y"))
     apart = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
-    between = heads.join(hubs, "key").where((F.col("x.node") != F.col("y.node")) & (apart <= radius)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), apart.cast("int").alias("d"))
-    nearest = pairs.unionByName(between).groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = verified(nearest, prints, docs, id_col, text_col, words)
+    between = heads.join(hubs, "key").where((F.col("x.node") != F.col("y.node")) & (apart <= radius)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    links = verified(nearest(joined_to(None), True).unionByName(between).distinct(), prints, docs, id_col, text_col, words)
     found = components(links)
+    second = verified(nearest(joined_to(found), False), prints, docs, id_col, text_col, words)
+    if not second.isEmpty():
+        links = links.unionByName(second)
+        found = components(links)
 
-    rows = dealt.join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node"))
-    rows = materialize(rows.select("key", "node", "n", "fp", "root", "own", "size"))
+    rows = materialize(joined_to(found).select("key", "node", "n", "fp", "root", "own", "size"))
     several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     left = rows.join(several, "key").select("key", "node", "n", "fp", "root", "own", F.explode(F.sequence(F.lit(0), cut - 1)).alias("other"))
     left = left.select("key", "node", "n", "fp", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
