@@ -127,7 +127,7 @@ def grid_contract_errors(spark, d):
     return gridspec.contract_errors(n)
 
 
-@query("SELECT n_name, n_name || '/aef_' || n_name || '_' || (2017 + n_regionkey % 3) || '_' || (2020 + n_nationkey % 4) AS path FROM nation")
+@query(f"SELECT n_name, n_name || '/{vec.PREFIX}_' || n_name || '_' || (2017 + n_regionkey % 3) || '_' || (2020 + n_nationkey % 4) AS path FROM nation")
 def output_names(spark, d):
     years = F.array((2020 + F.col("n_nationkey") % 4).cast("int"), F.lit(2020), (2017 + F.col("n_regionkey") % 3).cast("int"))
     return table(spark, d, "nation").select("n_name", gridspec.output_name(F.col("n_name"), years).alias("path"))
@@ -250,7 +250,7 @@ def point_delivery_rules(spark, d):
 RULES = ("missing file", "file size differs from the manifest", "not 64 float32 bands", "grid differs from the manifest", "band names", "no-data value is not NaN", "tags")
 
 
-@query("SELECT 'not in the manifest' AS rule, 'other.tif' AS subject UNION ALL SELECT CASE n_nationkey % 9 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(RULES, 1)) + " END, n_name || '.tif' FROM nation WHERE n_nationkey % 9 BETWEEN 1 AND 7")
+@query("SELECT 'not in the manifest' AS rule, 'other_' || n_name || '.tif' AS subject FROM nation WHERE n_nationkey % 12 = 0 UNION ALL SELECT CASE n_nationkey % 9 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(RULES, 1)) + " END, n_name || '.tif' FROM nation WHERE n_nationkey % 9 BETWEEN 1 AND 7")
 def raster_delivery_rules(spark, d):
     k = F.col("n_nationkey") % 9
     n = table(spark, d, "nation").withColumn("path", F.concat("n_name", F.lit(".tif")))
@@ -259,9 +259,9 @@ def raster_delivery_rules(spark, d):
     names = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.format_string("A%02d", i))
     tags = F.create_map(F.lit("year"), F.lit("2017"), F.lit("grid_id"), "n_name", F.lit("signature"), F.when(k == 7, "x").otherwise("s"))
     own = grid_of | {"width": F.when(k == 4, 17).otherwise(16)}
-    headers = n.where(k != 1).select("path", F.when(k == 2, 999).otherwise(1000).alias("bytes"), F.when(k == 3, 63).otherwise(64).alias("count"), F.lit("float32").alias("dtype"), F.when(k == 5, F.reverse(names)).otherwise(names).alias("names"), F.when(k == 6, 0.0).otherwise(float("nan")).alias("nodata"), tags.alias("tags"), *[v.alias(c) for c, v in own.items()])
-    other = headers.where("path = 'NATION_0.tif'").withColumn("path", F.lit("other.tif"))
-    return deliveries.raster_rules(headers.unionByName(other), manifest)
+    headers = n.where(k != 1).select("n_nationkey", "path", F.when(k == 2, 999).otherwise(1000).alias("bytes"), F.when(k == 3, 63).otherwise(64).alias("count"), F.lit("float32").alias("dtype"), F.when(k == 5, F.reverse(names)).otherwise(names).alias("names"), F.when(k == 6, 0.0).otherwise(float("nan")).alias("nodata"), tags.alias("tags"), *[v.alias(c) for c, v in own.items()])
+    other = headers.where("n_nationkey % 12 = 0").withColumn("path", F.concat(F.lit("other_"), "path"))
+    return deliveries.raster_rules(headers.unionByName(other).drop("n_nationkey"), manifest)
 
 
 @query("SELECT n_name AS grid_id, 2::bigint AS n_files, n_name || '/2017.tif' AS first_path, (1000 + n_nationkey + 1000 + n_nationkey)::bigint AS bytes, sha256(n_name || '|32717|500000.0|1.0E7|16|16|2017') AS first_signature FROM nation WHERE n_nationkey % 4 <> 3")
