@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlark.catalogue import NORM, V, _triangles, q, query, r
 from gridlark.functions import crs, grid
-from gridlark.operators import audit, cube, geometry, lookup, mosaic, points, store
+from gridlark.operators import audit, cube, geometry, lookup, mosaic, store
 from gridlark.plans.relations import relation, with_sql
 from gridlark.runtime import table
 
