@@ -179,8 +179,10 @@ def test_viterbi_equals_enumeration():
 
 
 def test_crf_learns():
-    good, bad = ["Some plain prose goes here, as it should.\nAnd more of it follows.\nThe end of it."], ["a | b | c | d\nx | y | z | q\n$$$ %%% &&& ***"]
-    model = quality.fit(good * 30 + bad * 30, [1] * 30 + [0] * 30)
+    # Every text has lines of its own: lines that many texts hold count as boilerplate, whoever holds them.
+    good = [f"Some plain prose number {k} goes here, as it should.\nAnd more of part {k} follows.\nThe end of story {k}." for k in range(30)]
+    bad = [f"a{k} | b | c | d\nx | y{k} | z | q\n$$$ %%% &&& *** {k}" for k in range(30)]
+    model = quality.fit(good + bad, [1] * 30 + [0] * 30)
     out = quality.judge(model)([" ".join(f"word{k}" for k in range(60)) + ".\nMore text here.", "\n".join(f"k{k} | v{k} | w{k}" for k in range(60))])
     assert out["kept"] == [True, False]
 
