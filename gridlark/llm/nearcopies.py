@@ -51,7 +51,7 @@ RADIUS = 24
 BLOCK = 2048
 BINS = 256
 #: Meetings up to this size are compared together, pair by pair; larger ones each by itself.
-TOGETHER = 64
+TOGETHER = 32
 
 #: An odd multiplier, its inverse modulo 2^64, and a number for every byte.
 _BASE = 0x9E3779B97F4A7C15
@@ -176,6 +176,18 @@ def _whole(frames: list[pd.DataFrame], work, names: list[str]):
     yield from work(pdf, np.concatenate([[0], np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1, [len(pdf)]]))
 
 
+def bounded(bins, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Flags of pairs of rows: their bins leave the similarity possible. Rows without bins pass."""
+    ok = np.ones(len(i), dtype=bool)
+    if not len(i) or any(b is None for b in bins):
+        return ok
+    counts = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS).astype(np.int16)
+    for s in range(0, len(i), 10_000):
+        x, y = i[s : s + 10_000], j[s : s + 10_000]
+        ok[s : s + 10_000] = np.abs(counts[x] - counts[y]).sum(1, dtype=np.int64) * (NUM + DEN) <= (n[x].astype(np.int64) + n[y]) * (DEN - NUM)
+    return ok
+
+
 def little_pairs(edges: np.ndarray, little: np.ndarray):
     """Index pairs of all rows of the meetings flagged, a slice of them at a time; no row twice on one side of a slice."""
     size = np.diff(edges)
@@ -214,6 +226,8 @@ def nearest_pairs(radius: int, heads: bool):
         for s, e in zip(edges[:-1][~little].tolist(), edges[1:][~little].tolist(), strict=True):
             i, j = near(fp[s:e], fp[s:e], radius)
             i, j = alike(i + s, j + s)
+            ok = bounded(pdf["bins"].iloc[s:e], i - s, j - s, n[s:e])
+            i, j = i[ok], j[ok]
             d = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
             order = np.lexsort((j, d, i))
             i, j, d = i[order], j[order], d[order]
@@ -264,6 +278,8 @@ def cross_pairs(radius: int):
             ok = (root[i] != root[j]) & alike_in_size(n[i], n[j])
             if lo[s] == hi[s]:
                 ok &= i < j
+            i, j = i[ok], j[ok]
+            ok = bounded(pdf["bins"].iloc[s:e], i - s, j - s, n[s:e])
             if ok.any():
                 yield listed(i[ok], j[ok])
 
@@ -320,6 +336,10 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
     meet = materialize(spread.join(counts, "key").select("key", "node", "n", "fp", "size"))
     cut = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = meet.withColumn("own", F.pmod(F.xxhash64("node"), cut).cast("int"))
+    # Only rows of larger meetings carry their bins: there they keep the pairs few, elsewhere pairs are.
+    bins = prints.select(F.col("node").alias("__of"), "bins").dropDuplicates(["__of"])
+    large = dealt.where(F.col("size") > TOGETHER).join(bins, F.col("node") == F.col("__of")).drop("__of")
+    dealt = materialize(dealt.where(F.col("size") <= TOGETHER).withColumn("bins", F.lit(None).cast("binary")).unionByName(large))
     sorted_by = lambda df, *by: df.repartition(parallelism(spark), *by).sortWithinPartitions(*by, "n", "node")
 
     def joined_to(found: DataFrame | None) -> DataFrame:
@@ -332,7 +352,7 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
     def nearest(rows: DataFrame, heads: bool) -> DataFrame:
         """One pair of each class with its nearest of another component, and one with a head."""
         several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        rows = rows.join(several, "key").select("key", "own", "node", "n", "fp", "root")
+        rows = rows.join(several, "key").select("key", "own", "node", "n", "fp", "root", "bins")
         picked = sorted_by(rows, "key", "own").mapInPandas(by_group(["key", "own"], nearest_pairs(radius, heads)), "b long, a long, d int, kind int")
         one = picked.groupBy("b", "kind").agg(F.min(F.struct("d", "a")).alias("x"))
         return one.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")).distinct()
@@ -348,10 +368,10 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
         links = links.unionByName(second)
         found = components(links)
 
-    rows = materialize(joined_to(found).select("key", "node", "n", "fp", "root", "own", "size"))
+    rows = materialize(joined_to(found).select("key", "node", "n", "fp", "root", "own", "size", "bins"))
     several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = rows.join(several, "key").select("key", "node", "n", "fp", "root", "own", F.explode(F.sequence(F.lit(0), cut - 1)).alias("other"))
-    left = left.select("key", "node", "n", "fp", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    left = rows.join(several, "key").select("key", "node", "n", "fp", "root", "own", "bins", F.explode(F.sequence(F.lit(0), cut - 1)).alias("other"))
+    left = left.select("key", "node", "n", "fp", "root", "own", "bins", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     more = sorted_by(left, "key", "lo", "hi").mapInPandas(by_group(["key", "lo", "hi"], cross_pairs(radius)), "a long, b long").distinct()
     more = verified(more, prints, docs, id_col, text_col, words)
     if not more.isEmpty():
