@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm import exact, mixing, nearcopies, piece, toxicity
 from gridlark.llm.queries import model_path
-from gridlark.runtime import drop_folder, shared_folder, table
+from gridlark.runtime import drop_folder, shared_folder, short_batches, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on labelled rows that are not held out, lets pass."""
+    short_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -35,6 +36,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: SimHash comparison of 5-word shingles, verified to a Jaccard similarity of 0.8."""
+    short_batches(spark)
     return nearcopies.dedup(docs)
 
 
@@ -45,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every mixed document."""
+    short_batches(spark)
     return piece.encode_digests(docs, model_path())
 
 

@@ -143,13 +143,27 @@ def alike_in_size(a, b):
     return np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM
 
 
+def longer(batches, rows: int = 10_000):
+    """The batches joined to frames of at least so many rows: few long steps are cheaper, and rows without texts are slim."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def by_group(names: list[str], work):
     """Feed whole groups of sorted rows to work(pdf, edges); a batch may end inside a group."""
 
     def run(batches):
         held: list[pd.DataFrame] = []
         last = None
-        for pdf in batches:
+        for pdf in longer(batches):
             if not len(pdf):
                 continue
             k = pdf[names].to_numpy()

@@ -63,3 +63,14 @@ def materialize(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Reducer count for explicit repartitions: what the session is configured for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+#: Rows of an Arrow batch that hold whole texts: Python workers keep room for a batch, and live on between stages.
+TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Have the session pass at most TEXT_ROWS rows a batch to Python, unless its owner named a number."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, TEXT_ROWS)

@@ -4,7 +4,9 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import pandas as pd
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridlark.llm import toxicity
@@ -66,3 +68,18 @@ def test_stages_take_an_empty_table_and_null_columns(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, DIR).count() >= 0
+
+
+def test_python_gets_short_batches(spark):
+    """After a stage that runs Python no batch of texts holds thousands of rows; a number that the session's owner named stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "int")
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(9).alias("n_chars")).coalesce(1)
+    try:
+        corpus_pipeline.encode(spark, docs, "")
+        assert docs.select(F.max(size("text"))).first()[0] <= 1000
+        spark.conf.set(name, 2000)
+        corpus_pipeline.encode(spark, docs, "")
+        assert docs.select(F.max(size("text"))).first()[0] == 2000
+    finally:
+        spark.conf.unset(name)
