@@ -35,13 +35,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.runtime import materialize, parallelism, ship
+from gridlark.runtime import materialize, parallelism, release, ship
 
 from .common import digest_of, give_back, only_rows, per_text, slight, text
-from .components import components
+from .components import FEW, components
 from .simhash import majority, near, within
 
 WORDS = 5
@@ -337,23 +337,38 @@ def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, id_col: str,
     return materialize(both.where(similar("s", "t")).select("a", "b"))
 
 
-def classes_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: __id, __hash (of its text), root (the component's name)."""
-    spark = docs.sparkSession
-    ship(spark)
+def fingerprinted(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """A slim row per row of docs (__id, __hash, node, n, bins), and a row per class and shingle of its prefix (node, n, fp, key)."""
     hot = frequent(docs, text_col, id_col, words)
     udf = per_text(lambda: lambda texts: prefixes(texts, hot, words), "node long, n int, fp long, keys array<long>, bins binary")
-    prints = materialize(docs.select(F.col(id_col).alias("__id"), digest_of(text(text_col)).alias("__hash"), udf(text(text_col)).alias("__r")).select("__id", "__hash", "__r.*"))
-    classes = prints.select("node", "n", "fp", "keys").dropDuplicates(["node"])
+    wide = materialize(docs.select(F.col(id_col).alias("__id"), digest_of(text(text_col)).alias("__hash"), udf(text(text_col)).alias("__r")).select("__id", "__hash", "__r.*"))
+    classes = wide.select("node", "n", "fp", "keys").dropDuplicates(["node"])
     spread = materialize(classes.select("node", "n", "fp", F.explode("keys").alias("key")))
+    # The prefixes are most of the wide rows' bytes, and done with.
+    return materialize(wide.drop("fp", "keys")), spread
+
+
+def meetings(prints: DataFrame, spread: DataFrame, cut: Column) -> DataFrame:
+    """The rows of spread whose key has several classes, with its size and the row's own block of cut."""
     counts = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     meet = materialize(spread.join(counts, "key").select("key", "node", "n", "fp", "size"))
-    cut = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = meet.withColumn("own", F.pmod(F.xxhash64("node"), cut).cast("int"))
     # Only rows of larger meetings carry their bins: there they keep the pairs few, elsewhere pairs are.
     bins = prints.select(F.col("node").alias("__of"), "bins").dropDuplicates(["__of"])
     large = dealt.where(F.col("size") > TOGETHER).join(bins, F.col("node") == F.col("__of")).drop("__of")
-    dealt = materialize(dealt.where(F.col("size") <= TOGETHER).withColumn("bins", F.lit(None).cast("binary")).unionByName(large))
+    return materialize(dealt.where(F.col("size") <= TOGETHER).withColumn("bins", F.lit(None).cast("binary")).unionByName(large))
+
+
+def classes_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: __id, __hash (of its text), root (the component's name)."""
+    spark = docs.sparkSession
+    ship(spark)
+    prints, spread = fingerprinted(docs, id_col, text_col, words)
+    release(spark)
+    cut = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    dealt = meetings(prints, spread, cut)
+    del spread
+    release(spark)
     sorted_by = lambda df, *by: df.repartition(parallelism(spark), *by).sortWithinPartitions(*by, "n", "node")
 
     def joined_to(found: DataFrame | None) -> DataFrame:
@@ -376,11 +391,13 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
     apart = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
     between = heads.join(hubs, "key").where((F.col("x.node") != F.col("y.node")) & (apart <= radius)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
     links = verified(nearest(joined_to(None), True).unionByName(between).distinct(), prints, docs, id_col, text_col, words)
-    found = components(links)
+    found = components(links, FEW)
+    release(spark)
     second = verified(nearest(joined_to(found), False), prints, docs, id_col, text_col, words)
     if not second.isEmpty():
         links = links.unionByName(second)
-        found = components(links)
+        found = components(links, FEW)
+    release(spark)
 
     rows = materialize(joined_to(found).select("key", "node", "n", "fp", "root", "own", "size", "bins"))
     several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
@@ -388,8 +405,9 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
     left = left.select("key", "node", "n", "fp", "root", "own", "bins", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     more = sorted_by(left, "key", "lo", "hi").mapInPandas(by_group(["key", "lo", "hi"], cross_pairs(radius)), "a long, b long").distinct()
     more = verified(more, prints, docs, id_col, text_col, words)
+    release(spark)
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = components(links.unionByName(more), FEW)
     found = found.withColumnRenamed("node", "__node")
     return prints.join(found, F.col("node") == F.col("__node"), "left").select("__id", "__hash", F.coalesce("root", "node").alias("root"))
 
@@ -404,6 +422,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """docs with one row of each component; all columns stay."""
     member = materialize(classes_of(docs, id_col, text_col, words, radius, block))
+    release(docs.sparkSession)
     first = member.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")).alias("top"))
     named = member.groupBy("root", "__id", "__hash").agg(F.count(F.lit(1)).alias("times")).join(first, "root")
     stays = F.col("__id").eqNullSafe(F.col("top.__id")) & (F.col("__hash") == F.col("top.__hash"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from gridlark.runtime import materialize, parallelism, ship
 
 from .common import per_text
-from .components import components
+from .components import components, forest
 
 RADIUS = 2
 BLOCK = 2048
@@ -162,24 +162,6 @@ def within(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndar
     return np.unpackbits(hit.view(np.uint8), bitorder="little")[:n].astype(bool)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (node, root) pairs, of the graph of links (i, j) on n nodes."""
-    root = np.arange(n)
-    while True:
-        a, b = root[i], root[j]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        if (lo == hi).all():
-            break
-        np.minimum.at(root, hi, lo)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-    node = np.nonzero(root != np.arange(n))[0]
-    return node, root[node]
-
-
 def parts(radius: int = RADIUS) -> list[int]:
     """Masks under which two fingerprints within radius must agree at least once: pairs of radius + 2 parts."""
     n = radius + 2

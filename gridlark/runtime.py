@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -60,6 +61,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints that no frame refers to any more.
+
+    Its cleaner learns of them only when the driver's garbage is collected, which a long chain of
+    small steps may not cause before disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parallelism(spark: SparkSession) -> int:
     """Reducer count for explicit repartitions: what the session is configured for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

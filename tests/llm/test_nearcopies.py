@@ -2,10 +2,13 @@
 
 import random
 import re
+import time
 from itertools import combinations
 
 import corpus_pipeline
 from gridlark.llm import nearcopies, simhash
+from gridlark.llm.components import components
+from gridlark.runtime import release
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,3 +78,32 @@ def test_links_come_from_the_bit_sliced_comparison(spark, monkeypatch):
     want = plain(rows)
     assert {r[0]: r[1] for r in nearcopies.near_groups(docs).collect()} == want
     assert sum(k != v for k, v in narrow.items()) < sum(k != v for k, v in want.items()) - 30
+
+
+def test_the_stage_leaves_few_shuffles_on_disk(spark, monkeypatch):
+    """What earlier steps have shuffled is deleted while the stage runs, so its files do not pile up."""
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    live, write = [], nearcopies.materialize
+
+    def counted(df):
+        out = write(df)
+        live.append(tracker.shuffleStatuses().size())
+        return out
+
+    docs = spark.createDataFrame(texts(), "doc_id long, text string").repartition(3)
+    docs.count()
+    release(spark)
+    time.sleep(2)
+    before = tracker.shuffleStatuses().size()
+    monkeypatch.setattr(nearcopies, "materialize", counted)
+    nearcopies.dedup(docs).count()
+    assert len(live) >= 8 and max(live) - before <= 25
+
+
+def test_few_links_are_contracted_as_many_are(spark):
+    rng = random.Random(5)
+    links = [(k, k + 1) for k in range(50)] + [(-7, k) for k in range(100, 130)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(90)] + [(2**62, -(2**62)), (5, 5), (3000, 3000)]
+    df = spark.createDataFrame(links, "a long, b long")
+    one, two = (sorted(map(tuple, components(df, few).collect())) for few in (0, 1000))
+    assert one == two and len(one) > 100
+    assert components(df.limit(0), 1000).count() == 0
